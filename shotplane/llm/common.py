@@ -157,12 +157,13 @@ def _mark(links: DataFrame) -> tuple:
 def blocks(df: DataFrame, key: Column, row: Column, n_blocks: Column, pairs_only: bool = True) -> DataFrame:
     """Deals the rows of a large group over pairs of blocks, so that every two rows meet in some group of two blocks.
 
-    Adds `g`, the group, and `block`, the row's block. With pairs_only a group of several blocks has no pair (i, i): its
+    Adds `g`, the group, `block`, the row's block, and `cross`, whether the group is of two blocks. With pairs_only a group of several blocks has no pair (i, i): its
     two blocks' rows meet each other in every group, so all pairs are seen.
     """
     d = df.withColumn("_k", key).withColumn("_n", n_blocks.cast("long")).withColumn("block", F.pmod(row, F.col("_n")))
     others = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
     if pairs_only:
         others = F.when(F.col("_n") > 1, F.filter(others, lambda j: j != F.col("block"))).otherwise(others)
-    g = F.transform(others, lambda j: F.when(F.col("_n") == 1, F.col("_k")).otherwise(F.xxhash64(F.col("_k"), F.least(F.col("block"), j), F.greatest(F.col("block"), j))))
-    return d.withColumn("g", F.explode(g)).drop("_k", "_n")
+    k, own = F.col("_k"), F.col("block")
+    group = F.transform(others, lambda j: F.struct(F.when(F.col("_n") == 1, k).otherwise(F.xxhash64(k, F.least(own, j), F.greatest(own, j))).alias("g"), (j != own).alias("cross")))
+    return d.withColumn("_g", F.explode(group)).withColumns({"g": F.col("_g.g"), "cross": F.col("_g.cross")}).drop("_k", "_n", "_g")
