@@ -97,7 +97,7 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Finds secrets in every whole text and links parts of one credential.
 
     Returns a row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked and found, the
-    spans as an array of (start, rank, kind, end). Null texts count as empty. Rows that repeat an id with another text
+    spans as an array of (start, rank, kind, end), and _h, a hash of the text. Null texts count as empty. Rows that repeat an id with another text
     are told apart by a hash of the text; equal rows get equal results. Null ids pass through, other columns are left
     out.
 
@@ -130,18 +130,26 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     out = rows.select("doc_id", "h", *(F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")), base.alias("base")).join(linked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     found = F.array_sort(F.concat("base", F.coalesce("linked", none)))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.array_join(F.transform("base", _label), ",").cast("binary"), 256).alias("base_sha256"), found.alias("found"), F.size(F.coalesce("linked", none)).cast("long").alias("n_linked")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(F.transform("found", _label), ",").alias("spans"), "n_linked", "found")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.array_join(F.transform("base", _label), ",").cast("binary"), 256).alias("base_sha256"), found.alias("found"), "h", F.size(F.coalesce("linked", none)).cast("long").alias("n_linked")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(F.transform("found", _label), ",").alias("spans"), "n_linked", "found", F.col("h").alias("_h"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with the texts of base secrets replaced by a mark, row by row, n_chars following where it is there.
+def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
+    """The documents with all spans that scan_secrets finds replaced by a mark, n_chars following where it is there.
 
-    Kinds are replaced in their order. All rows and columns stay; null texts stay null.
+    Spans that overlap get one mark. All rows and columns stay; texts without a span, and null texts, stay as they are.
+    Only the rows' spans are joined to the texts, by id and a hash of the text.
     """
-    t = F.col("text")
-    assign = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]{%d,})""" % ASSIGN_LEAST
-    t = F.regexp_replace(t, assign, "$1" + mark.replace("$", r"\$"))
-    t = F.regexp_replace(t, ACCESS, mark)
-    t = F.regexp_replace(t, HEX, mark)
-    out = docs.withColumn("text", t)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    found = scan_secrets(docs, scope).where("size(found) > 0").select(F.col("doc_id").alias("_id"), "_h", F.col("found").alias("_found")).distinct()
+    marked = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h")), "left")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
+
+    clean = F.aggregate("_found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text"))))
+    text = F.when(F.col("_found").isNotNull(), clean).otherwise(F.col("text"))
+    out = marked.withColumn("_clean", text).withColumn("text", F.col("_clean"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_found").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -1,30 +1,11 @@
 import random
-import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
 from shotplane.llm import common, embedding_dedup, minhash
-
-
-def components(nodes, links):
-    root = {n: n for n in nodes}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in links:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {n: find(n) for n in nodes}
-
-
-def shingles(t):
-    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+from tests_llm_helpers import components, shingles
 
 
 def test_shingles_as_defined():
