@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shotplane.plans import culling
+
 FLAGSHIP = "judge_marks"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_ALL = [culling.ENTRIES]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for part in _ALL for k, (f, _) in part.items()}
+ORACLES: dict[str, str] = {k: sql for part in _ALL for k, (_, sql) in part.items() if sql}
