@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from shotplane.llm.secrets import let
 
-#: Characters that words of lowered texts are made of, and those between words (fixed values of the contract).
-INSIDE, BETWEEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: ASCII characters between words; all others are parts of words, A-Z in lower case (fixed values of the contract).
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 #: Base phrases and their labels (fixed values of the contract).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Notices and their labels.
@@ -34,9 +35,9 @@ TEMPLATES = [
 GRAM, GAP, COVER = 4, 3, 0.6
 
 
-def lowered(text: Column) -> Column:
-    """A-Z in lower case and nothing else: two other letters have ASCII lower-case forms."""
-    return F.when(text.rlike("[Kİ]"), F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
+def words_of(text: Column) -> Column:
+    """The words of a text: one pass maps A-Z to lower case and whatever stands between words to spaces."""
+    return F.array_remove(F.split(F.translate(text, UPPER + BETWEEN, UPPER.lower() + " " * len(BETWEEN)), " ", -1), "")
 
 
 def template_grams(gram: int = GRAM) -> list[tuple[str, int, int, int, str]]:
@@ -49,21 +50,18 @@ def template_grams(gram: int = GRAM) -> list[tuple[str, int, int, int, str]]:
     return out
 
 
-def phrase_pattern(phrase: str) -> str:
-    return f"(?<!{INSIDE})" + f"{BETWEEN}+".join(phrase.split()) + f"(?!{INSIDE})"
+def n_words(piece: Column) -> Column:
+    return F.size(F.array_remove(F.split(piece, " ", -1), ""))
 
 
-def n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(INSIDE + "+"))
-
-
-def phrase_hits(text: Column, phrase: str, label: str) -> Column:
-    """Places of a phrase in a lowered text, null without any: how many, words before the first, words from the last on."""
+def phrase_hits(joined: Column, phrase: str, label: str) -> Column:
+    """Places of a phrase in words joined by two spaces, one at either end; null without any: how many, words before the
+    first, words from the last on. Every word has its own spaces, so phrases next to each other are all found."""
 
     def body(pieces: Column) -> Column:
         return F.when(F.size(pieces) > 1, F.struct(F.lit(label).alias("label"), (F.size(pieces) - 1).alias("n"), n_words(F.element_at(pieces, 1)).alias("first"), (n_words(F.element_at(pieces, -1)) + len(phrase.split())).alias("last")))
 
-    return let(F.split(text, phrase_pattern(phrase), -1), body)
+    return let(F.split(joined, " " + "  ".join(phrase.split()) + " ", -1), body)
 
 
 def scan_licenses(docs: DataFrame, gram: int = GRAM, cover: float = COVER) -> DataFrame:
@@ -81,11 +79,10 @@ def scan_licenses(docs: DataFrame, gram: int = GRAM, cover: float = COVER) -> Da
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", lowered(text).alias("text"), F.xxhash64(text).alias("h"))
+    d = docs.select("doc_id", words_of(text).alias("words"), F.xxhash64(text).alias("h"))
 
     places = spark.createDataFrame(template_grams(gram), "label string, template int, tpos int, n_grams int, tgram string").withColumn("thash", F.xxhash64("tgram"))
-    words = F.regexp_extract_all("text", F.lit(INSIDE + "+"), F.lit(0))
-    grams = let(words, lambda w: F.when(F.size(w) >= gram, F.transform(F.sequence(F.lit(0), F.size(w) - gram), lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(gram))))))
+    grams = let(F.col("words"), lambda w: F.when(F.size(w) >= gram, F.transform(F.sequence(F.lit(0), F.size(w) - gram), lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(gram))))))
     rolled = d.select("doc_id", "h", F.posexplode(grams).alias("pos", "gram")).withColumn("hash", F.xxhash64("gram"))
     votes = rolled.join(F.broadcast(places), (F.col("hash") == F.col("thash")) & (F.col("gram") == F.col("tgram"))).select("doc_id", "h", "label", "template", "n_grams", "pos", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
     by_diagonal = votes.groupBy("doc_id", "h", "label", "template", "n_grams", "diagonal").agg(F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("hit"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
@@ -97,8 +94,9 @@ def scan_licenses(docs: DataFrame, gram: int = GRAM, cover: float = COVER) -> Da
     found = matches.groupBy("doc_id", "h").agg(F.collect_set("label").alias("more"), F.max(share).alias("best")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "more", "best")
 
     none = F.array().cast("array<struct<label:string,n:int,first:int,last:int>>")
-    hits = F.array_compact(F.array(*(phrase_hits(F.col("text"), p, label) for p, label in PHRASES.items())))
-    rows = d.select("doc_id", "h", n_words(F.col("text")).cast("long").alias("n_words"), F.when(F.col("text").contains("license"), hits).otherwise(none).alias("hits"))
+    joined = F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" "))
+    hits = let(joined, lambda j: F.array_compact(F.array(*(phrase_hits(j, p, label) for p, label in PHRASES.items()))))
+    rows = d.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), F.when(F.array_contains("words", "license"), hits).otherwise(none).alias("hits"))
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     base = F.transform("hits", lambda x: x["label"])
     n_base = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["n"])

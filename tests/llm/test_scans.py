@@ -67,7 +67,7 @@ LICENSED = [
     ("Mit, LICENSE! x general-public license and APACHE\nlicense mit license", "apache,gpl,mit"), ("smit license mit licenses éapache license", ""), ("", ""), (None, ""), ("word " * 30 + "Licensed under CC BY-NC 4.0. more", "cc-by-nc"),
     ("a b Licensed under CC BY 4.0", "cc-by"), ("x " * 5000 + "Redistribution and use in source and binary forms, with or without modification, are allowed and permitted provided that the following conditions are met", "bsd"),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files to deal in the Software without restriction", "mit"),
-    ("This is free and open software that is released", ""), ("Licensed under the Apache Kelvin License", ""), ("MİT license general public", ""),
+    ("This is free and open software that is released", ""), ("Licensed under the Apache Kelvin License", ""), ("MİT license general public", ""), ("mit\x00license\x7fmit license mit license", "mit"), ("Kelvin \u212a mit \u0130 license", ""), ("".join(map(chr, range(256))), ""),
 ]
 
 
