@@ -75,14 +75,15 @@ def ratio_simplest(w: Column, h: Column) -> Column:
 
 
 def similarity(points: list[tuple[Column, Column, Column, Column]]) -> tuple[Column, Column, Column, Column]:
-    """The least-squares similarity (a, b, tx, ty) that takes points (x, y) to (u, v): u = ax - by + tx, v = bx + ay + ty."""
+    """The least-squares similarity (a, b, tx, ty) that takes points (x, y) to (u, v): u = ax - by + tx, v = bx + ay + ty;
+    null if all points (x, y) are the same."""
     n = len(points)
     mean = [sum((p[k] for p in points[1:]), points[0][k]) / n for k in range(4)]
     c = [tuple(p[k] - mean[k] for k in range(4)) for p in points]
     add = lambda terms: sum(terms[1:], terms[0])
     size = add([x * x + y * y for x, y, _, _ in c])
-    a = add([x * u + y * v for x, y, u, v in c]) / size
-    b = add([x * v - y * u for x, y, u, v in c]) / size
+    a = F.try_divide(add([x * u + y * v for x, y, u, v in c]), size)
+    b = F.try_divide(add([x * v - y * u for x, y, u, v in c]), size)
     return a, b, mean[2] - a * mean[0] + b * mean[1], mean[3] - b * mean[0] - a * mean[1]
 
 
