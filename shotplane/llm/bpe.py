@@ -32,6 +32,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def read_vocabulary(path: str) -> tuple[list[bytes], dict[str, int]]:
+    """The bytes of every id, and the special strings with their ids, of a tokenizers file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, letters = spec["model"]["vocab"], byte_letters()
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    words = [b""] * (max([*vocab.values(), *special.values()]) + 1)
+    for w, i in vocab.items():
+        words[i] = bytes(letters[c] for c in w) if all(c in letters for c in w) else w.encode()
+    for w, i in special.items():
+        words[i] = w.encode()
+    return words, special
+
+
 class ByteBPE:
     """A byte-level BPE vocabulary, read from a tokenizers file."""
 
@@ -39,24 +53,19 @@ class ByteBPE:
         import public_tokenizers
         import regex
 
-        spec = json.loads(open(path, encoding="utf-8").read())
-        vocab, letters = spec["model"]["vocab"], byte_letters()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, letters = model["vocab"], byte_letters()
         self.words = regex.compile(public_tokenizers.PATTERN)
         self.path = path
-        size = max([*vocab.values(), *(x["id"] for x in spec["added_tokens"])]) + 1
-        self.bytes_of: list[bytes] = [b""] * size
-        for w, i in vocab.items():
-            self.bytes_of[i] = bytes(letters[c] for c in w) if all(c in letters for c in w) else w.encode()
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        for w, i in self.special.items():
-            self.bytes_of[i] = w.encode()
+        self.bytes_of, self.special = read_vocabulary(path)
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.first = [0] * 256
         for c, b in letters.items():
             self.first[b] = vocab[c]
         self.rank: dict[int, int] = {}
         self.made: list[int] = []
-        for r, pair in enumerate(spec["model"]["merges"]):
+        for r, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[a] << 20 | vocab[b]] = r
             self.made.append(vocab[a + b])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,9 +56,22 @@ def id_field(df: DataFrame, name: str) -> T.StructField:
     return T.StructField(name, df.schema[name].dataType, True)
 
 
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system: workers live on, and their executor's bound is shared."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow over batches of few rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        tidy()
+
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def bucket_of(c: Column, modulus: int, keep: Callable[[Column], Column]) -> Column:
@@ -111,6 +126,7 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[dict[str, np.ndarray | lis
             rows += one(held)
         if ready:
             yield flush()
+        tidy()
 
     small_batches(df.sparkSession)
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)

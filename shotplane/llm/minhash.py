@@ -20,7 +20,7 @@ MARGIN = 4.0
 #: Documents of a block of a bucket, and shingles of a block of a candidate component.
 BLOCK_DOCS, BLOCK_SHINGLES = 2048, 400_000
 #: Words whose hashes a worker remembers before it forgets them all.
-MEMO = 300_000
+MEMO = 150_000
 
 U64 = np.uint64
 

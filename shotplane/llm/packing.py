@@ -26,21 +26,21 @@ _CODERS: dict[str, object] = {}
 
 
 def coder(path: str):
-    """A function from a text to its ids as bytes, by the ranks of a tokenizers file."""
+    """A function from a text to its ids as bytes, by the ranks of a tokenizers file. Long texts are encoded in spliced
+    chunks by the library itself, which is loaded once one comes."""
     if path not in _CODERS:
         import public_tokenizers
         import tiktoken
 
-        from shotplane.llm.bpe import load_bpe
+        from shotplane.llm.bpe import read_vocabulary
 
-        bpe = load_bpe(path)
-        plain = {w: i for i, w in enumerate(bpe.bytes_of) if w.decode("utf-8", "replace") not in bpe.special}
-        fast = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=plain, special_tokens=bpe.special)
-        slow = encoder(path)
+        words, special = read_vocabulary(path)
+        plain = {w: i for i, w in enumerate(words) if i not in special.values()}
+        fast = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=plain, special_tokens=special)
 
         def encode(text: str) -> bytes:
             if len(text) > AT_ONCE_CHARS:
-                return np.asarray(encode_spliced(slow, text), "<u4").tobytes()
+                return np.asarray(encode_spliced(encoder(path), text), "<u4").tobytes()
             return fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
         _CODERS[path] = encode

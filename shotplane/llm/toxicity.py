@@ -27,7 +27,7 @@ MODULUS = 5
 #: Correlation from which two voters share their weight.
 TIED = 0.5
 #: Words a worker remembers before it forgets them all.
-MEMO = 300_000
+MEMO = 150_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
