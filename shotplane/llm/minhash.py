@@ -185,6 +185,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, regi
                 regs.append(None if r is None else r.tobytes())
                 bands.append([] if r is None else band_keys(r, band))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(fq, pa.int64()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "fp", "fq", "regs", "bands"])
+        _WORDS.clear()
 
     made, _ = cut(map_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")), sketches, kinds), "sketches")
     sets = made.where("n > 0 and doc_id is not null")
@@ -239,6 +240,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, regi
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(at).cast(pa.int64()) for k in range(3)), pa.array(sets, pa.binary())], names=["node", "component", "n_blocks", "shingles"])
+        _WORDS.clear()
 
     found = map_batches(texts, full_sets, spread)
     met = blocks(found, F.col("component"), F.xxhash64("node"), F.col("n_blocks")).select("g", "node", "shingles")
