@@ -52,6 +52,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that a frame does not have, after the wanted ones."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def id_field(df: DataFrame, name: str) -> T.StructField:
     return T.StructField(name, df.schema[name].dataType, True)
 

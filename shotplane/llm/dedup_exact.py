@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotplane.llm.common import cut, scratch
+from shotplane.llm.common import cut, scratch, unused
 
 #: What is deleted before texts are compared (a fixed value of the contract).
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -100,12 +100,16 @@ def by_bytes(docs: DataFrame, digests: DataFrame) -> DataFrame:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns, one row for each group of equal texts.
 
-    Where rows repeat an id and a text, one of them stays.
+    Where rows repeat an id and a text, one of them stays; only then are whole rows gathered once more.
     """
-    decided = exact_duplicates(docs).where("kept").select("doc_id", "text_sha256").distinct().withColumnsRenamed({"doc_id": "_id", "text_sha256": "_digest"})
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    rows = marked.join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    kept = exact_duplicates(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"))
+    kept, _ = cut(kept, "kept")
+    i, d, sha = unused(docs, "_id", "_digest", "_sha")
+    decided = kept.select(F.col("doc_id").alias(i), F.col("text_sha256").alias(d))
+    marked = docs.withColumn(sha, F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    rows = marked.join(decided, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(sha) == F.col(d)), "left_semi")
+    rows = rows.dropDuplicates(["doc_id", sha]) if kept.where("n > 1").take(1) else rows
+    return rows.select(*docs.columns)
 
 
 ORACLE = """

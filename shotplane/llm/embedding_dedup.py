@@ -40,6 +40,13 @@ def table_keys(unit: np.ndarray, tables: int = TABLES, k: int = PROJECTIONS, wid
     return h.view(np.int64)
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """A finite vector, not zero, at length 1 in double precision."""
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max()
+    return v / np.sqrt(v @ v)
+
+
 def embedding_links(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Links vectors whose cosine, in double precision, is at least the threshold, and groups them.
 
@@ -54,25 +61,24 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     counted only in the first of the buckets that it shares, and what leaves a task is a count and a root for each of
     its vectors, never its pairs.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind, width = ("array<float>", np.float32) if single else ("array<double>", np.float64)
+    rows = vectors.select("vec_id", F.col("embedding").cast(kind).alias("embedding"))
     fine = F.col("vec_id").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     usable = rows.where(fine)
     reps, _ = cut(usable.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
-    kinds = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("unit", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType(), False))])
+    kinds = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("vector", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType(), False))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units: list[np.ndarray] = []
-            for x in b.column(2):
-                v = np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64)
-                v = v / np.abs(v).max()
-                units.append(v / np.sqrt(v @ v))
+            raw = [x.values.to_numpy(zero_copy_only=False) for x in b.column(2)]
+            units = [unit(v) for v in raw]
             keys: list = [None] * len(units)
             for dim in {len(u) for u in units}:
                 at = [i for i, u in enumerate(units) if len(u) == dim]
                 for i, k in zip(at, table_keys(np.stack([units[i] for i in at]))):
                     keys[i] = k
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([u.tobytes() for u in units], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "n", "unit", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "n", "vector", "keys"])
 
     made, _ = cut(map_batches(reps.select(F.col("rep").cast("long").alias("rep"), "n", "embedding"), hashed, kinds), "hashed")
     keyed = made.select("rep", F.explode("keys").alias("key"))
@@ -80,16 +86,16 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     one = sizes.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
     members, _ = cut(keyed.join(one, "key"), "members")
     own = members.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("own"))
-    rich = members.join(made.select("rep", "n", "unit"), "rep").join(own, "rep")
+    rich = members.join(made.select("rep", "n", "vector"), "rep").join(own, "rep")
     dealt = blocks(rich, F.col("key"), F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK), pairs_only=False)
-    met = dealt.select("g", "key", "block", F.col("cross").cast("long").alias("cross"), "rep", "n", "unit", "own")
+    met = dealt.select("g", "key", "block", F.col("cross").cast("long").alias("cross"), "rep", "n", "vector", "own")
     out = T.StructType([T.StructField("rep", T.LongType()), T.StructField("links", T.LongType()), T.StructField("root", T.LongType())])
 
     def compare(t: dict) -> dict | None:
         rep, n, block, own = t["rep"], t["n"], t["block"], t["own"]
         if len(rep) < 2:
             return None
-        x = np.frombuffer(b"".join(t["unit"]), np.float64).reshape(len(rep), -1)
+        x = np.stack([unit(v) for v in np.frombuffer(b"".join(t["vector"]), width).reshape(len(rep), -1)])
         hit = x @ x.T >= threshold
         np.fill_diagonal(hit, False)
         if t["cross"][0]:

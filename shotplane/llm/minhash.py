@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotplane.llm.common import blocks, components, cut, id_field, map_batches, map_groups
+from shotplane.llm.common import blocks, components, cut, id_field, map_batches, map_groups, unused
 
 #: Words of a shingle; the base and rate of the registers; registers, and registers of a band.
 WORDS, BASE, RATE, REGISTERS, BAND = 5, 1.001, 20.0, 256, 8
@@ -277,5 +277,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, regi
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents that stay, with all their columns: of each group the one with the smallest doc_id."""
-    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").unionByName(docs.where("doc_id is null"))
+    (i,) = unused(docs, "_id")
+    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(i)).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col(i), "left_semi").unionByName(docs.where("doc_id is null"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotplane.llm.common import cut
+from shotplane.llm.common import cut, unused
 
 #: Base patterns and the least length of what they must hold (fixed values of the contract).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -139,17 +139,18 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataF
     Spans that overlap get one mark. All rows and columns stay; texts without a span, and null texts, stay as they are.
     Only the rows' spans are joined to the texts, by id and a hash of the text.
     """
-    found = scan_secrets(docs, scope).where("size(found) > 0").select(F.col("doc_id").alias("_id"), "_h", F.col("found").alias("_found")).distinct()
-    marked = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h")), "left")
+    i, h, own, hit, clean = unused(docs, "_id", "_hash", "_own", "_hit", "_clean")
+    found = scan_secrets(docs, scope).where("size(found) > 0").select(F.col("doc_id").alias(i), F.col("_h").alias(h), F.col("found").alias(hit)).distinct()
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("_found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text"))))
-    text = F.when(F.col("_found").isNotNull(), clean).otherwise(F.col("text"))
-    out = marked.withColumn("_clean", text).withColumn("text", F.col("_clean"))
+    text = F.aggregate(hit, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text"))))
+    some = F.col(hit).isNotNull()
+    out = marked.withColumn(clean, F.when(some, text).otherwise(F.col("text"))).withColumn("text", F.col(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -46,6 +46,7 @@ def test_collided_digests_fall_back_to_bytes(spark):
 
 def test_one_row_of_each_group_stays(spark):
     d = frame(spark, ROWS)
+    d = d.selectExpr("*", "1 as _id", "'x' as _sha", "2 as _digest")
     kept = dedup_exact.drop_duplicates(d)
     assert kept.columns == d.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({x[1] for x in brute(ROWS)})

@@ -60,7 +60,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, blocks):
     links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     comp = components(ids, links)
     assert got == {i: (len(sets[i]), comp[i], comp[i] == i) for i in ids} | {None: (1, None, True)}
-    kept = [r.doc_id for r in minhash.drop_near_duplicates(d, 85).collect()]
+    kept = [r.doc_id for r in minhash.drop_near_duplicates(d.withColumn("_id", d.n), 85).collect()]
     assert sorted(x for x in kept if x is not None) == [i for i in ids if comp[i] == i] and kept.count(None) == 1
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 

@@ -44,8 +44,10 @@ def test_no_python_in_the_native_plans(spark):
 
 
 def test_redaction_keeps_rows_and_columns(spark):
-    d = spark.createDataFrame([(1, 'x token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" y', 60), (2, None, 0), (3, "clean", 5), (4, "é token=abcdef1 " + "0a" * 20, 9), (4, "é token=abcdef1 " + "0a" * 20, 9)], "doc_id long, text string, n_chars long")
-    got = sorted((x.doc_id, x.text, x.n_chars) for x in secrets.redact(d).collect())
+    d = spark.createDataFrame([(*r, 1, "h", 2, 3) for r in [(1, 'x token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" y', 60), (2, None, 0), (3, "clean", 5), (4, "é token=abcdef1 " + "0a" * 20, 9), (4, "é token=abcdef1 " + "0a" * 20, 9)]], "doc_id long, text string, n_chars long, _id int, _hash string, _own int, _hit int")
+    got = secrets.redact(d)
+    assert got.columns == d.columns
+    got = sorted((x.doc_id, x.text, x.n_chars) for x in got.collect())
     assert got == [(1, 'x [SECRET]" y', 13), (2, None, 0), (3, "clean", 5), *[(4, "é [SECRET] [SECRET]", 19)] * 2]
 
 
