@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,23 +17,31 @@ from pyspark.sql import types as T
 from shotplane.llm.common import blocks, components, cut, map_batches, map_groups
 from shotplane.llm.minhash import U64, _spread, mix
 
-#: Tables, projections of a table, and the width of a projection's cell. Unit vectors at cosine 0.95 are 0.316 apart and
-#: share a cell with probability 0.87, so a table with 0.116 and one of 64 tables with 0.9996; orthogonal ones share
-#: a table with probability 1e-5.
-TABLES, PROJECTIONS, WIDTH = 64, 16, 2.0
+#: Width of a projection's cell. Unit vectors at cosine 0.95 are 0.316 apart and share a cell with probability NEAR,
+#: orthogonal ones with probability FAR.
+WIDTH, NEAR, FAR = 2.0, 0.8738, 0.4862
+#: The chance that a pair at cosine 0.95 shares no table.
+MISS = 0.0004
 #: Vectors of a block of a bucket.
 BLOCK = 1024
 
 
+def layout(n: int) -> tuple[int, int]:
+    """(projections of a table, tables) for n vectors: so many projections that a vector shares a table with about one
+    orthogonal one, and so many tables that pairs at the threshold are missed with probability MISS."""
+    k = max(8, math.ceil(math.log(max(n, 2)) / -math.log(FAR)))
+    return k, math.ceil(math.log(MISS) / math.log1p(-(NEAR**k)))
+
+
 @lru_cache(4)
-def projections(dim: int, tables: int = TABLES, k: int = PROJECTIONS) -> tuple[np.ndarray, np.ndarray]:
+def projections(dim: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.Generator(np.random.PCG64([3, dim]))
     return r.standard_normal((dim, tables * k)), r.random(tables * k)
 
 
-def table_keys(unit: np.ndarray, tables: int = TABLES, k: int = PROJECTIONS, width: float = WIDTH) -> np.ndarray:
+def table_keys(unit: np.ndarray, k: int, tables: int, width: float = WIDTH) -> np.ndarray:
     """For each unit vector its bucket in every table: quantised random projections, hashed with the table's number."""
-    a, b = projections(unit.shape[1], tables, k)
+    a, b = projections(unit.shape[1], k, tables)
     cells = np.floor(unit @ a / width + b).astype(np.int64).astype(U64).reshape(len(unit), tables, k)
     h = np.broadcast_to(np.arange(tables, dtype=U64) + U64(1000 * unit.shape[1]), (len(unit), tables)).copy()
     for j in range(k):
@@ -67,6 +76,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     fine = F.col("vec_id").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     usable = rows.where(fine)
     reps, _ = cut(usable.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
+    shape = layout(reps.count())
     kinds = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("vector", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType(), False))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +86,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
             keys: list = [None] * len(units)
             for dim in {len(u) for u in units}:
                 at = [i for i, u in enumerate(units) if len(u) == dim]
-                for i, k in zip(at, table_keys(np.stack([units[i] for i in at]))):
+                for i, k in zip(at, table_keys(np.stack([units[i] for i in at]), *shape)):
                     keys[i] = k
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "n", "vector", "keys"])
 
@@ -120,3 +130,20 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     none = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     all_rows = usable.join(known, "embedding").select("vec_id", "n_links", "component_id").unionByName(none)
     return all_rows.withColumn("kept", F.col("vec_id").isNull() | (F.col("vec_id") == F.col("component_id")))
+
+
+ORACLE = """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings where embedding is not null and vec_id is not null
+), p as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95
+), r(a, b) as (
+  select a, b from p union select r.a, p.b from r join p on r.b = p.a
+), c as (
+  select a, min(least(a, b)) as c from r group by 1
+), n as (
+  select a, count(*) as n from p group by 1
+)
+select vec_id, cast(coalesce(n.n, 0) as bigint) as n_links, coalesce(c.c, vec_id) as component_id, vec_id = coalesce(c.c, vec_id) as kept
+from embeddings e left join n on e.vec_id = n.a left join c on e.vec_id = c.a
+"""

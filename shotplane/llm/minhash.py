@@ -280,3 +280,26 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     (i,) = unused(docs, "_id")
     kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(i)).distinct()
     return docs.join(kept, F.col("doc_id") == F.col(i), "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), k as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as k from w
+), s as (
+  select doc_id, len(k) as n, unnest(k) as s from k
+), i as (
+  select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as hit from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2, 3, 4
+), half as (
+  select a, b from i where 100 * hit >= 85 * (na + nb - hit)
+), p as (
+  select a, b from half union all select b, a from half
+), r(a, b) as (
+  select a, b from p union select r.a, p.b from r join p on r.b = p.a
+), c as (
+  select a, min(least(a, b)) as c from r group by 1
+)
+select doc_id, cast(len(k) as bigint) as n_shingles, coalesce(c, doc_id) as component_id, doc_id = coalesce(c, doc_id) as kept
+from k left join c on k.doc_id = c.a
+"""
