@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Texts that reach a Python worker at once, so that a batch of long ones stays small.
 BATCH_ROWS = 1024
+#: Bytes of input a core below which rows are dealt to all cores before Python reads them.
+SMALL = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,15 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input over all cores: a file with one row group would be read by one task. Beyond SMALL a core, the scan
+    has tasks enough and rows stay where they are read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < SMALL * cores else df
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """mapInArrow over batches of few rows."""
 
@@ -82,7 +93,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
         tidy()
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def bucket_of(c: Column, modulus: int, keep: Callable[[Column], Column]) -> Column:
