@@ -37,10 +37,29 @@ def image_names(name: Column, face: Column) -> dict[str, Column]:
     return {"display": F.concat(s, F.lit(".jpg")), "thumb": F.concat(s, F.lit("_t.jpg")), "eyes": F.concat(s, F.lit("_eyes"), face.cast("string"), F.lit(".jpg")), "face": F.concat(s, F.lit("_face"), face.cast("string"), F.lit(".jpg"))}
 
 
+#: Wordings of reasons and of notes on crops (fixed values).
+REASON_TEXT = {"eyes-closed": "eyes closed", "soft-eyes": "soft eyes", "no-face": "no face", "face-hidden": "face hidden", "small-face": "small face", "face-cut": "face cut", "sharpest": "sharpest", "smile": "smile", "soft-frame": "soft"}
+NOTE_TEXT = {"original": "as shot", "eyes-on-third": "eyes on third", "lead-room": "lead room", "centered": "centred", "clean-edges": "clean edges", "subject-pops": "subject pops"}
+BAD, GOOD = ("eyes-closed", "soft-eyes", "soft-frame", "face-cut"), ("sharpest", "smile")
+
+
+def wording(slug: Column, texts: dict[str, str]) -> Column:
+    """A slug's wording, or the slug itself."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in texts.items() for x in kv)), slug), slug)
+
+
+def tone(reason: Column) -> Column:
+    return F.when(reason.isin(*BAD), "bad").when(reason.isin(*GOOD), "good").otherwise("info")
+
+
+def ratio_text(n: Column, d: Column) -> Column:
+    return F.concat_ws(":", n.cast("string"), d.cast("string"))
+
+
 def eyes_text(blink: Column, closed: float = 0.45, half: float = 0.3) -> Column:
-    """Wording for two eyes: open, one closed, half closed or closed."""
+    """Wording for two eyes."""
     hi, lo = F.greatest(blink[0], blink[1]), F.least(blink[0], blink[1])
-    return F.when((hi >= closed) & (lo >= half), "closed").when(hi >= closed, "one closed").when(hi >= half, "half closed").otherwise("open")
+    return F.when((hi >= closed) & (lo >= half), "eyes closed").when(hi >= closed, "one eye closed").when(hi >= half, "half-closed").otherwise("eyes open")
 
 
 def badge(mark: Column, decided: Column) -> Column:

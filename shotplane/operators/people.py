@@ -20,6 +20,17 @@ def split_faces(faces: DataFrame, cfg: PeopleConfig = PeopleConfig()) -> DataFra
     return faces.where((F.size("embed") > 0) & (F.col("embed_norm") >= cfg.weak_norm)).withColumn("part", F.when(core, "core").otherwise("weak"))
 
 
+def wide_enough(faces: DataFrame, cfg: PeopleConfig = PeopleConfig()) -> DataFrame:
+    """Faces (with a box `w` pixels wide) that are wide enough to be identified."""
+    return faces.where(F.col("w") >= cfg.min_width)
+
+
+def sheet(members: DataFrame, columns: int = 16) -> DataFrame:
+    """The first faces of each person in order, for a row of a contact sheet: a limit that is the sheet's width."""
+    w = Window.partitionBy("folder", "person_id").orderBy("ord", "face_idx")
+    return members.withColumn("column", F.row_number().over(w)).where(F.col("column") <= columns)
+
+
 def similar_pairs(faces: DataFrame, threshold: float, within: str = "folder") -> DataFrame:
     """Pairs of a folder's faces whose inner product is over the threshold, each once, with it."""
     side = lambda s: faces.select(within, *(F.col(c).alias(f"{c}_{s}") for c in ("file", "face_idx", "embed")))

@@ -10,15 +10,15 @@ from shotplane.operators.group import ORDER, in_order
 KEY = ("folder", "group_id")
 
 
-def shown(which: str, effective: Column, decided: Column) -> Column:
-    """Whether a frame is shown by a filter: all, pending (undecided), picked or rejected."""
-    return {"all": F.lit(True), "pending": decided.isNull(), "picked": effective == "pick", "rejected": decided == "reject"}[which]
+def shown(which: str, decided: Column) -> Column:
+    """Whether a frame is shown by a filter: all, pending (undecided), picked or rejected, as the user decided."""
+    return {"all": F.lit(True), "pending": decided.isNull(), "picked": decided == "pick", "rejected": decided == "reject"}[which]
 
 
 def tiles(frames: DataFrame, which: str = "all", hide_rejected: bool = False, person: int | None = None) -> DataFrame:
     """Frames that are shown. Rejected ones can be hidden, but for the filter that asks for them; a person's frames hold
     one of their faces (an array of ids, `persons`)."""
-    d = frames.where(shown(which, F.col("effective"), F.col("decided")))
+    d = frames.where(shown(which, F.col("decided")))
     if hide_rejected and which != "rejected":
         d = d.where(F.coalesce(F.col("decided") != "reject", F.lit(True)))
     return d.where(F.array_contains("persons", person)) if person is not None else d
@@ -92,3 +92,20 @@ def decide(decisions: DataFrame, changes: DataFrame) -> DataFrame:
 def accept(frames: DataFrame) -> DataFrame:
     """Accepts groups as they were pre-marked: undecided frames take their mark as their decision."""
     return frames.withColumn("decided", F.coalesce("decided", "mark"))
+
+
+def toggled(decided: Column, mark: str) -> Column:
+    """A frame's decision after its key for a mark: the mark, or none where it had it."""
+    return F.when(decided.eqNullSafe(F.lit(mark)), "none").otherwise(mark)
+
+
+def mark_groups(frames: DataFrame, mark: str) -> DataFrame:
+    """Decisions after whole groups are marked: none where all of a group's frames had the mark already."""
+    every = F.min((F.coalesce("decided", F.lit("")) == mark).cast("int")).over(Window.partitionBy(*KEY))
+    return frames.withColumn("decided", F.when(every == 1, "none").otherwise(mark))
+
+
+def visible_groups(shown_tiles: DataFrame) -> DataFrame:
+    """Groups with a frame that is shown, and their place in the folder."""
+    g = shown_tiles.select(*KEY).distinct()
+    return g.withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy("group_id")))

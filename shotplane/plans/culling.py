@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shotplane.config import CullConfig
 from shotplane.functions import faces as faces_of
+from shotplane.functions import text
 from shotplane.functions.text import badge, eyes_text, lift
 from shotplane.functions.vectors import sig_dist
 from shotplane.operators import calibrate, group, judge, view
@@ -146,6 +147,21 @@ def accepted_groups(spark, sf_dir):
     return view.accept(judged(spark, sf_dir)).groupBy("decided").agg(F.count("*").alias("n"))
 
 
+def visible_groups(spark, sf_dir):
+    return view.visible_groups(view.tiles(judged(spark, sf_dir), "rejected"))
+
+
+def mark_toggles(spark, sf_dir):
+    d = judged(spark, sf_dir)
+    whole = view.mark_groups(d.where("event_id % 3 = 0"), "reject").select(*KEYS, F.col("decided").alias("grouped"))
+    return d.select(*KEYS, view.toggled(F.col("decided"), "pick").alias("toggled")).join(whole, list(KEYS))
+
+
+def reason_labels(spark, sf_dir):
+    d = judged(spark, sf_dir).select(*KEYS, F.posexplode("reasons").alias("i", "reason"))
+    return d.select(*KEYS, "i", text.wording(F.col("reason"), text.REASON_TEXT).alias("label"), text.tone(F.col("reason")).alias("tone"))
+
+
 def mark_agreement(spark, sf_dir):
     d = adapters.table(spark, sf_dir, "marks")
     parts = [calibrate.agreement(d, m).withColumn("mark", F.lit(m)) for m in ("reject", "pick")]
@@ -220,7 +236,7 @@ def judging(groups: str) -> str:
 
 J = judging(G_BREAK)
 E = f"{J}, dec as ({duck('decisions')}), eff as (select j.*, d.mark as decided, coalesce(d.mark, j.mark) as effective from judged j left join dec d on j.folder = d.folder and j.file = d.file)"
-WORDS = "case when greatest(blink0, blink1) >= 0.45e0 and least(blink0, blink1) >= 0.3e0 then 'closed' when greatest(blink0, blink1) >= 0.45e0 then 'one closed' when greatest(blink0, blink1) >= 0.3e0 then 'half closed' else 'open' end"
+WORDS = "case when greatest(blink0, blink1) >= 0.45e0 and least(blink0, blink1) >= 0.3e0 then 'eyes closed' when greatest(blink0, blink1) >= 0.45e0 then 'one eye closed' when greatest(blink0, blink1) >= 0.3e0 then 'half-closed' else 'eyes open' end"
 STATE = "case when {b} >= 0.45e0 then 'closed' when {b} >= 0.3e0 then 'half' else 'open' end"
 FACES = " union all ".join(f"select folder, file, event_id, {k} as k, {face_select(k)} from frames where not faceless" for k in (0, 1))
 
@@ -248,7 +264,7 @@ ENTRIES = {
     "signature_distance": (signature_distance, f"with {FRAMES} select folder, file, round({DIST}, 6) as dist from ordered"),
     "face_shift": (face_shift, f"with {FRAMES} select * from (select folder, file, round({SHIFT}, 6) as shift from ordered) where shift is not null"),
     "eye_states": (eye_states, f"with {FRAMES}, f as ({FACES}) select folder, file, k as face_idx, {STATE.format(b='blink0')} as eye0, {STATE.format(b='blink1')} as eye1, greatest(blink0, blink1) >= 0.45e0 and least(blink0, blink1) >= 0.3e0 as closed, {WORDS} as words, round(case when luma <= 0 then 1 else greatest(1e0, least(3e0, 110e0 / luma)) end, 6) as lift from f"),
-    "filter_tiles": (filter_tiles, f"with {E} select folder, file, 'pending' as filter, false as hide from eff where decided is null union all select folder, file, 'picked', true from eff where effective = 'pick' and coalesce(decided <> 'reject', true) and (event_id % 4 = 2 or event_id % 9 = 2) union all select folder, file, 'rejected', true from eff where decided = 'reject' union all select folder, file, 'all', true from eff where coalesce(decided <> 'reject', true) and event_id % 9 = 5"),
+    "filter_tiles": (filter_tiles, f"with {E} select folder, file, 'pending' as filter, false as hide from eff where decided is null union all select folder, file, 'picked', true from eff where decided = 'pick' and (event_id % 4 = 2 or event_id % 9 = 2) union all select folder, file, 'rejected', true from eff where decided = 'reject' union all select folder, file, 'all', true from eff where coalesce(decided <> 'reject', true) and event_id % 9 = 5"),
     "counts_by_group": (counts_by_group, f"with {E} select folder, group_id, count(*) as n, count(*) filter (where effective = 'pick') as picks, count(*) filter (where decided = 'reject') as rejects, count(*) filter (where decided is null) as pending from eff group by 1, 2"),
     "cover_frame": (cover_frame, f"with {E} select folder, group_id, file as cover from (select *, row_number() over (partition by folder, group_id order by case when effective = 'pick' then 0 else 1 end, time, file) as k from eff) where k = 1"),
     "compare_partner": (compare_partner, f"with {E} select folder, group_id, file, partner from (select a.folder, a.group_id, a.file, b.file as partner, row_number() over (partition by a.folder, a.group_id, a.file order by case when b.effective = 'pick' then 0 else 1 end, b.score desc, b.time, b.file) as k from eff a join eff b on a.folder = b.folder and a.group_id = b.group_id and a.file <> b.file) where k = 1"),
@@ -258,6 +274,9 @@ ENTRIES = {
     "serving_view": (serving_view, f"with {E}, f as ({FACES}) select e.folder, e.file, e.mark, e.decided as decision, f.words as eyes1, case when e.event_id % 6 = 0 then '4:5' end as crop from eff e left join (select folder, file, {WORDS} as words from f where k = 1) f on e.folder = f.folder and e.file = f.file"),
     "decision_changes": (decision_changes, f"with frames as ({duck('frames')}), dec as ({duck('decisions')}) select f.folder, f.file, case when event_id % 6 < 2 then 'pick' else d.mark end as mark, case when event_id % 6 < 2 then 2 else 1 end as stars from frames f left join dec d on f.folder = d.folder and f.file = d.file where (event_id % 6 < 2 and event_id % 5 <> 0) or (event_id % 6 >= 2 and d.mark is not null)"),
     "accepted_groups": (accepted_groups, f"with {E} select effective as decided, count(*) as n from eff group by 1"),
+    "visible_groups": (visible_groups, f"with {E} select folder, group_id, row_number() over (partition by folder order by group_id) as place from (select distinct folder, group_id from eff where decided = 'reject')"),
+    "mark_toggles": (mark_toggles, f"with {E}, g as (select folder, group_id, bool_and(coalesce(decided, '') = 'reject') as has from eff where event_id % 3 = 0 group by 1, 2) select e.folder, e.file, case when e.decided = 'pick' then 'none' else 'pick' end as toggled, case when g.has then 'none' else 'reject' end as grouped from eff e join g on e.folder = g.folder and e.group_id = g.group_id where e.event_id % 3 = 0"),
+    "reason_labels": (reason_labels, f"with {E}, x as (select folder, file, unnest(string_split(reasons, ',')) as reason, unnest(range(0, len(string_split(reasons, ',')))) as i from eff where reasons <> '') select folder, file, i, case reason when 'soft-frame' then 'soft' else replace(reason, '-', ' ') end as label, case when reason in ('eyes-closed', 'soft-eyes', 'soft-frame', 'face-cut') then 'bad' when reason in ('sharpest', 'smile') then 'good' else 'info' end as tone from x"),
     "mark_agreement": (mark_agreement, f"with m as ({duck('marks')}) " + " union all ".join(AGREE.format(m=m) for m in ("reject", "pick"))),
     "reason_stats": (reason_stats, f"with {E}, x as (select decided, unnest(string_split(reasons, ',')) as reason from eff where decided is not null and reasons <> '') select reason, count(*) as flagged, count(*) filter (where decided = 'reject') as rejected, count(*) filter (where decided = 'pick') as picked from x group by 1"),
     "missed_rejects": (missed_rejects, f"with {E}, f as (select folder, file, blink0, blink1 from (select *, row_number() over (partition by folder, file order by least(blink0, blink1) desc, k desc) as n from faces) where n = 1) select e.folder, e.file, e.reasons, round(e.rel_sharp, 6) as rel_sharp, round(f.blink0, 6) as blink0, round(f.blink1, 6) as blink1 from eff e left join f on e.folder = f.folder and e.file = f.file where e.decided = 'reject' and e.mark <> 'reject'"),

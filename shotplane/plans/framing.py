@@ -159,6 +159,16 @@ def detections_filter(spark, sf_dir):
     return detect.keep_detections(boxes(spark, sf_dir)).select("image", "id")
 
 
+def detection_scores(spark, sf_dir):
+    d = boxes(spark, sf_dir)
+    return d.select("image", "id", F.round(detect.confidence(F.col("score") * 1.3 - 0.1, F.col("w") / 250), 6).alias("conf"))
+
+
+def largest_first(spark, sf_dir):
+    d = boxes(spark, sf_dir).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("id", F.array("x", "y", "w", "h").alias("bbox")))).alias("b"))
+    return d.select("image", F.array_join(F.transform(detect.by_area(F.col("b")), lambda x: x["id"].cast("string")), ",").alias("ids"))
+
+
 def iou_pairs(spark, sf_dir):
     return detect.iou_pairs(boxes(spark, sf_dir)).select("image", "a_id", "b_id", F.round("iou", 6).alias("iou"))
 
@@ -289,6 +299,8 @@ ENTRIES = {
     case when abs((ey - y) / h - 1 / 3e0) < 0.1e0 then 1 when abs((ey - y) / h - 2 / 3e0) < 0.1e0 then 2 else 0 end as guide, cast(round(w * width) as bigint) as px_w, cast(round(h * height) as bigint) as px_h, round(w * width * h * height / 1e6, 1) as mp, w * width <= least(least(width, height * r), case when r >= 1 then 2560e0 else r * 2560 end) + 0.5e0 as at_least from p""",
     ),
     "detections_filter": (detections_filter, f"with b as ({duck('boxes')}) select image, id from (select *, first_value(w) over (partition by image order by w * h desc, id) as top from b where score >= 0.6e0) where w >= 0.25e0 * top"),
+    "detection_scores": (detection_scores, f"with b as ({duck('boxes')}) select image, id, round(sqrt(least(greatest(score * 1.3e0 - 0.1e0, 0), 1) * least(greatest(w / 250, 0), 1)), 6) as conf from b"),
+    "largest_first": (largest_first, f"with b as ({duck('boxes')}) select image, string_agg(cast(id as string), ',' order by w * h desc, id) as ids from b group by 1"),
     "iou_pairs": (iou_pairs, f"with b as ({duck('boxes')}), p as (select a.image, a.id as a_id, b.id as b_id, {IOU.format(a='a', b='b')} as i, a.w * a.h + b.w * b.h as s from b a join b on a.image = b.image and a.id < b.id) select image, a_id, b_id, round(i / (s - i), 6) as iou from p where i > 0"),
     "nms_keep": (nms_keep, None),
     "backfill_match": (backfill_match, f"with b as ({duck('boxes')}), f as (select image, id * 10 as id, x + id * 9 as x, y, w, h from b where id <> 2), p as (select b.image, b.id, f.id as fid, {IOU.format(a='b', b='f')} as i, b.w * b.h + f.w * f.h as s from b join f on b.image = f.image), q as (select *, row_number() over (partition by image, id order by i / (s - i) desc, fid desc) as k from p where i / (s - i) > 0.5e0) select b.image, b.id, q.fid as fresh_id, round(q.i / (q.s - q.i), 6) as iou from b left join q on b.image = q.image and b.id = q.id and q.k = 1"),

@@ -62,6 +62,15 @@ def person_cards(spark, sf_dir):
     return people.cards(d)
 
 
+def person_sheet(spark, sf_dir):
+    d = faces(spark, sf_dir).withColumn("person_id", F.col("vec_id") % 2)
+    return people.sheet(d).select("folder", "person_id", "file", "face_idx", "column")
+
+
+def identity_faces(spark, sf_dir):
+    return people.wide_enough(adapters.table(spark, sf_dir, "boxes")).groupBy("image").agg(F.count("*").alias("n"))
+
+
 def numbered_people(spark, sf_dir):
     d = faces(spark, sf_dir).withColumn("person_id", F.col("vec_id") % 6).groupBy("folder", "person_id").agg(F.count("*").alias("place"))
     d = d.withColumn("place", F.col("person_id") + 1).withColumn("name", F.when(F.col("person_id") % 3 == 0, F.concat(F.lit("N"), F.col("person_id").cast("string"))))
@@ -104,6 +113,8 @@ ENTRIES = {
     "attach_weak": (attach_weak, f"with {F_}, s as (select w.folder, w.file, w.face_idx, k.vec_id as person_id, row_number() over (partition by w.vec_id order by {DOT.format(a='w.embed', b='k.embed')} desc, k.vec_id desc) as r from f w join f k on w.folder = k.folder and w.vec_id % 50 >= 10 and k.vec_id % 50 < 10 where {DOT.format(a='w.embed', b='k.embed')} > 0.25e0) select folder, cast(file as string) as file, face_idx, person_id from s where r = 1"),
     "person_overrides": (person_overrides, f"with {F_} select folder, cast(file as string) as file, face_idx, case when vec_id % 7 = 0 then vec_id % 4 else vec_id % 5 + 1 end as person_id from f where (vec_id % 7 = 0 and vec_id % 4 <> 0) or (vec_id % 7 <> 0 and vec_id % 3 <> 0)"),
     "person_cards": (person_cards, f"with {F_}, b as (select *, row_number() over (partition by folder, vec_id % 6 order by embed_norm desc, file desc, face_idx desc) as k from f) select folder, vec_id % 6 as person_id, count(distinct file) as photos, count(*) as n_faces, max(case when k = 1 then cast(file as string) end) as best_file, max(case when k = 1 then face_idx end) as best_face from b group by 1, 2"),
+    "person_sheet": (person_sheet, f"with {F_} select folder, vec_id % 2 as person_id, cast(file as string) as file, face_idx, k as column from (select *, row_number() over (partition by folder, vec_id % 2 order by file, face_idx) as k from f) where k <= 16"),
+    "identity_faces": (identity_faces, f"with b as ({duck('boxes')}) select image, count(*) as n from b where w >= 48 group by 1"),
     "numbered_people": (numbered_people, f"with {F_}, p as (select distinct folder, vec_id % 6 as person_id from f) select folder, person_id, case when person_id % 3 = 0 then 'N' || cast(person_id as string) else 'Person ' || cast(cast(sum(case when person_id % 3 <> 0 then 1 else 0 end) over (partition by folder order by person_id rows unbounded preceding) as bigint) as string) end as shown from p"),
     "library_learn_cap": (
         library_learn_cap,
