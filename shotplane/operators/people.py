@@ -10,8 +10,11 @@ from pyspark.sql import types as T
 
 from shotplane.config import PeopleConfig
 from shotplane.functions.vectors import centroids, dot
+from shotplane.operators.graph import blocks, components, cut
 
 FACE_KEY = ["folder", "file", "face_idx"]
+#: Faces of a block when all of a folder's are compared.
+BLOCK = 1024
 
 
 def split_faces(faces: DataFrame, cfg: PeopleConfig = PeopleConfig()) -> DataFrame:
@@ -31,11 +34,34 @@ def sheet(members: DataFrame, columns: int = 16) -> DataFrame:
     return members.withColumn("column", F.row_number().over(w)).where(F.col("column") <= columns)
 
 
-def similar_pairs(faces: DataFrame, threshold: float, within: str = "folder") -> DataFrame:
-    """Pairs of a folder's faces whose inner product is over the threshold, each once, with it."""
-    side = lambda s: faces.select(within, *(F.col(c).alias(f"{c}_{s}") for c in ("file", "face_idx", "embed")))
-    pairs = side("a").join(side("b"), within).where(F.struct("file_a", "face_idx_a") < F.struct("file_b", "face_idx_b"))
-    return pairs.select(within, "file_a", "face_idx_a", "file_b", "face_idx_b", dot(F.col("embed_a"), F.col("embed_b")).alias("sim")).where(F.col("sim") > threshold)
+def similar_pairs(faces: DataFrame, threshold: float, within: str = "folder", block: int = BLOCK) -> DataFrame:
+    """Pairs of a folder's faces whose inner product is over the threshold, each once, with it.
+
+    Blocks of a folder's faces meet two by two and are multiplied as matrices; only pairs over the threshold are made.
+    """
+    d = faces.select(F.col(within).alias("folder"), "file", "face_idx", F.col("embed").cast("array<double>").alias("embed"))
+    many = d.groupBy("folder").agg(F.count("*").alias("_many"))
+    row = F.xxhash64("file", "face_idx")
+    dealt = blocks(d.join(many, "folder"), F.xxhash64("folder"), row, F.ceil(F.col("_many") / block), pairs_only=False)
+    f, i = d.schema["file"].dataType, d.schema["face_idx"].dataType
+    schema = T.StructType([d.schema["folder"], T.StructField("file_a", f), T.StructField("face_idx_a", i), T.StructField("file_b", f), T.StructField("face_idx_b", i), T.StructField("sim", T.DoubleType())])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(pdf["embed"].to_numpy())
+        sim = v @ v.T
+        hit = np.triu(sim > threshold, 1)
+        own = pdf["block"].to_numpy()
+        if pdf["cross"].iloc[0]:
+            hit &= own[:, None] != own[None, :]
+        a, b = np.nonzero(hit)
+        key = list(zip(pdf["file"], pdf["face_idx"]))
+        swap = np.fromiter((key[x] > key[y] for x, y in zip(a, b)), bool, len(a))
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        col = lambda c, at: pdf[c].to_numpy()[at]
+        return pd.DataFrame({"folder": col("folder", a), "file_a": col("file", a), "face_idx_a": col("face_idx", a), "file_b": col("file", b), "face_idx_b": col("face_idx", b), "sim": sim[a, b]})
+
+    rows = dealt.select("folder", "file", "face_idx", "embed", "g", "block", "cross")
+    return rows.groupBy("g").applyInPandas(compare, schema).withColumnRenamed("folder", within)
 
 
 def average_linkage(vectors: np.ndarray, threshold: float) -> list[list[int]]:
@@ -68,20 +94,30 @@ def average_linkage(vectors: np.ndarray, threshold: float) -> list[list[int]]:
 def cluster(core: DataFrame, threshold: float) -> DataFrame:
     """Average-linkage clusters of each folder's core faces (in capture order, `ord`): FACE_KEY and cluster, from 0.
 
-    A folder's faces meet in one task with a square matrix of similarities: a folder is one shoot, of thousands of faces
-    at most, and folders spread over tasks.
+    Clusters can only merge over a pair that is over the threshold itself. So a folder falls apart exactly into the
+    components of such pairs, and each component, not each folder, is clustered in one task; faces without any such pair
+    are clusters of their own.
     """
-    schema = T.StructType([*(core.schema[k] for k in FACE_KEY), T.StructField("cluster", T.IntegerType())])
+    node = lambda s="": F.xxhash64("folder", *(F.col(c + s) for c in ("file", "face_idx")))
+    faces, _ = cut(core.select(*FACE_KEY, "ord", F.col("embed").cast("array<double>").alias("embed"), node().alias("node")), "faces")
+    linked = similar_pairs(faces, threshold).select(node("_a").alias("a"), node("_b").alias("b"))
+    parts = faces.join(components(linked), "node", "left")
+    schema = T.StructType([*(core.schema[k] for k in FACE_KEY), core.schema["ord"], T.StructField("part", T.LongType()), T.StructField("local", T.IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ord", "face_idx"], kind="stable").reset_index(drop=True)
-        found = average_linkage(np.stack(pdf["embed"].to_numpy()), threshold)
         label = np.zeros(len(pdf), np.int32)
-        for k, m in enumerate(found):
+        for k, m in enumerate(average_linkage(np.stack(pdf["embed"].to_numpy()), threshold)):
             label[m] = k
-        return pdf[FACE_KEY].assign(cluster=label)
-
-    return core.select(*FACE_KEY, "ord", F.col("embed").cast("array<double>").alias("embed")).groupBy("folder").applyInPandas(run, schema)
+        return pdf[[*FACE_KEY, "ord"]].assign(part=pdf["component"], local=label)
+
+    many = parts.where("component is not null").groupBy("component").applyInPandas(run, schema)
+    alone = parts.where("component is null").select(*FACE_KEY, "ord", F.col("node").alias("part"), F.lit(-1).alias("local"))
+    labels = many.unionByName(alone)
+    first = F.min(F.struct("ord", "face_idx", "file"))
+    sizes = labels.groupBy("folder", "part", "local").agg(F.count("*").alias("size"), first.alias("first"))
+    place = F.row_number().over(Window.partitionBy("folder").orderBy(F.desc("size"), "first")) - 1
+    return labels.join(sizes.withColumn("cluster", place).select("folder", "part", "local", "cluster"), ["folder", "part", "local"]).select(*FACE_KEY, "cluster")
 
 
 def recognise(vectors: DataFrame, library: DataFrame, threshold: float, keys: list[str]) -> DataFrame:

@@ -112,6 +112,23 @@ def test_linkage_equals_the_naive_one():
         assert people.average_linkage(v, 0.3) == naive_linkage(v, 0.3)
 
 
+def test_clusters_of_components_equal_those_of_folders(spark):
+    r = np.random.default_rng(9)
+    rows = []
+    for folder in ("f", "g"):
+        base = r.standard_normal((6, 8))
+        v = np.concatenate([base + 0.5 * r.standard_normal(base.shape) for _ in range(5)])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        rows += [(folder, f"{i:02}", 0, i, x.tolist()) for i, x in enumerate(v)]
+    d = spark.createDataFrame(rows, "folder string, file string, face_idx int, ord int, embed array<double>")
+    got = {(x.folder, x.file): x.cluster for x in people.cluster(d, 0.4).collect()}
+    for folder in ("f", "g"):
+        want = people.average_linkage(np.array([x[4] for x in rows if x[0] == folder]), 0.4)
+        assert {(folder, f"{i:02}"): k for k, m in enumerate(want) for i in m} == {k: c for k, c in got.items() if k[0] == folder}
+    small = people.similar_pairs(d, 0.4, block=7).collect()
+    assert len(small) == people.similar_pairs(d, 0.4).count() == len({tuple(x)[:5] for x in small})
+
+
 def library(spark, rows):
     return spark.createDataFrame([(*r, r[0]) for r in rows], "id long, name string, samples array<array<double>>, pos long")
 
