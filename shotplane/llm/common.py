@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from shotplane.operators.graph import blocks, components, cut, discard, scratch
+
+__all__ = ["blocks", "components", "cut", "discard", "id_field", "map_batches", "map_groups", "scratch", "small_batches", "spread", "table", "tidy", "unused"]
+
 #: Texts that reach a Python worker at once, so that a batch of long ones stays small.
 BATCH_ROWS = 1024
 #: Bytes of input a core below which rows are dealt to all cores before Python reads them.
@@ -24,36 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else None
-    if not at:
-        at = tempfile.mkdtemp(prefix="shotplane-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Writes a table to the shared folder and reads it again: its lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{scratch(spark).rstrip('/')}/shotplane/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def small_batches(spark: SparkSession) -> None:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names that a frame does not have, after the wanted ones."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -65,6 +36,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def id_field(df: DataFrame, name: str) -> T.StructField:
     return T.StructField(name, df.schema[name].dataType, True)
 
@@ -96,11 +72,6 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return spread(df).mapInArrow(run, schema)
 
 
-def bucket_of(c: Column, modulus: int, keep: Callable[[Column], Column]) -> Column:
-    """A test on crc32 of an id as text; rows without an id count as remainder 0."""
-    return keep(F.coalesce(F.crc32(c.cast("string").cast("binary")) % modulus, F.lit(0)))
-
-
 def map_groups(df: DataFrame, key: str, fn: Callable[[dict[str, np.ndarray | list]], dict[str, np.ndarray | list] | None], schema: T.StructType) -> DataFrame:
     """Runs fn on the rows of each value of a bigint column, one group in memory at a time.
 
@@ -161,47 +132,3 @@ def _column(c: pa.ChunkedArray) -> np.ndarray | list:
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
     kinds = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.BinaryType: pa.binary(), T.BooleanType: pa.bool_()}
     return pa.schema([(f.name, kinds[type(f.dataType)]) for f in schema])
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of undirected links: (node, component), the component being its smallest node.
-
-    Alternating large and small stars. Each round is one pass of joins over the links that are left, cut to a shared
-    table; a round's joins have one plain exchange a side, so that a hub's links can be split.
-    """
-    spark = edges.sparkSession
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    now, path = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = _mark(now)
-    while mark[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(least, both["a"] == least["k"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lows = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        small = large.join(lows, large["a"] == lows["k"]).select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m")), F.struct(F.col("a").alias("x"), F.col("m")))).alias("s")).select(F.col("s.x").alias("a"), F.col("s.m").alias("b")).where("a <> b").distinct()
-        then, path_then = cut(small, "links")
-        discard(spark, path)
-        now, path, before, mark = then, path_then, mark, _mark(then)
-        if mark == before:
-            break
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-
-
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").bitwiseAND(0xFFFFFFFF))).first())
-
-
-def blocks(df: DataFrame, key: Column, row: Column, n_blocks: Column, pairs_only: bool = True) -> DataFrame:
-    """Deals the rows of a large group over pairs of blocks, so that every two rows meet in some group of two blocks.
-
-    Adds `g`, the group, `block`, the row's block, and `cross`, whether the group is of two blocks. With pairs_only a group of several blocks has no pair (i, i): its
-    two blocks' rows meet each other in every group, so all pairs are seen.
-    """
-    d = df.withColumn("_k", key).withColumn("_n", n_blocks.cast("long")).withColumn("block", F.pmod(row, F.col("_n")))
-    others = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
-    if pairs_only:
-        others = F.when(F.col("_n") > 1, F.filter(others, lambda j: j != F.col("block"))).otherwise(others)
-    k, own = F.col("_k"), F.col("block")
-    group = F.transform(others, lambda j: F.struct(F.when(F.col("_n") == 1, k).otherwise(F.xxhash64(k, F.least(own, j), F.greatest(own, j))).alias("g"), (j != own).alias("cross")))
-    return d.withColumn("_g", F.explode(group)).withColumns({"g": F.col("_g.g"), "cross": F.col("_g.cross")}).drop("_k", "_n", "_g")
