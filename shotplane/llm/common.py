@@ -53,12 +53,11 @@ def tidy() -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small input over all cores: a file with one row group would be read by one task. Beyond SMALL a core, the scan
-    has tasks enough and rows stay where they are read."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < SMALL * cores else df
+    """A small input in few files over all cores: a file with one row group would be read by one task. Beyond SMALL a core,
+    the scan has tasks enough and rows stay where they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores and len(df.inputFiles()) < cores else df
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
