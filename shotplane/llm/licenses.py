@@ -110,3 +110,39 @@ def scan_licenses(docs: DataFrame, gram: int = GRAM, cover: float = COVER) -> Da
         F.array_join(F.array_sort(F.array_union(base, F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
         F.when(F.size("hits") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
+
+
+def oracle(gram: int = GRAM, cover: float = COVER) -> str:
+    """The same scan in SQL: phrases by words side by side, votes by a join of all grams."""
+    grams = ", ".join(f"('{label}', {k}, {i}, {n}, '{g}')" for label, k, i, n, g in template_grams(gram))
+    starts = " union all ".join(f"select rid, i, '{label}' as label from x where " + " and ".join(f"w{j} = '{w}'" for j, w in enumerate(p.split())) for p, label in PHRASES.items())
+    return f"""
+with t(label, template, tpos, n, gram) as (values {grams}), d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+), u as (
+  select rid, w, unnest(range(0, len(w))) as i from d
+), x as (
+  select rid, i, w[i + 1] as w0, w[i + 2] as w1, w[i + 3] as w2, case when i + {gram} <= len(w) then array_to_string(w[i + 1:i + {gram}], ' ') end as gram from u
+), s as ({starts}), b as (
+  select rid, count(*) as n_base, min(i) as first_word, max(i) as last_word from s group by 1
+), v as (
+  select x.rid, t.label, t.template, t.n, x.i - t.tpos as diagonal, bit_or(cast(1 as bigint) << t.tpos) as hit, min(x.i) as lo, max(x.i) as hi from x join t on x.gram = t.gram group by 1, 2, 3, 4, 5
+), f as (
+  select *, case when diagonal - lag(diagonal) over (partition by rid, template order by diagonal) <= {GAP} then 0 else 1 end as fresh from v
+), r as (
+  select *, sum(fresh) over (partition by rid, template order by diagonal rows unbounded preceding) as run from f
+), m as (
+  select rid, label, template, n, run, bit_or(hit) as hit, min(lo) as lo, max(hi) as hi from r group by 1, 2, 3, 4, 5
+), k as (
+  select rid, label, bit_count(hit) / cast(n as double) as share from m where bit_count(hit) / cast(n as double) >= {cover}e0 and hi - lo + {gram} <= 1.5e0 * (n + {gram - 1})
+), l as (
+  select rid, label from k union select rid, label from s
+), j as (
+  select rid, string_agg(label, ',' order by label) as labels from l group by 1
+), jb as (
+  select rid, string_agg(label, ',' order by label) as base_labels from (select distinct rid, label from s) group by 1
+)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(b.n_base, 0) as n_base, b.first_word, b.last_word, coalesce(jb.base_labels, '') as base_labels, coalesce(j.labels, '') as labels,
+  case when b.n_base > 0 then 1 else coalesce((select max(share) from k where k.rid = d.rid), 0) end as score
+from d left join b on d.rid = b.rid left join j on d.rid = j.rid left join jb on d.rid = jb.rid
+"""

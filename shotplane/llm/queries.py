@@ -64,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op3_embedding_dedup": embedding_dedup.ORACLE, "op5_minhash": minhash.ORACLE, "op10_exact_dedup": dedup_exact.ORACLE}
+ORACLES: dict[str, str] = {"op3_embedding_dedup": embedding_dedup.ORACLE, "op5_minhash": minhash.ORACLE, "op7_licenses": licenses.oracle(), "op10_exact_dedup": dedup_exact.ORACLE}
