@@ -46,6 +46,22 @@ def read_vocabulary(path: str) -> tuple[list[bytes], dict[str, int]]:
     return words, special
 
 
+class _Memo(dict):
+    """Ids of words as bytes, encoded once each while they are remembered."""
+
+    def __init__(self, word):
+        super().__init__()
+        self.word = word
+
+    def __missing__(self, w: str) -> bytes:
+        got = array("I", self.word(w.encode())).tobytes()
+        if len(self) >= MEMO:
+            self.clear()
+        if len(w) <= 64:
+            self[w] = got
+        return got
+
+
 class ByteBPE:
     """A byte-level BPE vocabulary, read from a tokenizers file."""
 
@@ -69,7 +85,7 @@ class ByteBPE:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[a] << 20 | vocab[b]] = r
             self.made.append(vocab[a + b])
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self.word)
         self._library = None
 
     def word(self, data: bytes) -> list[int]:
@@ -134,22 +150,9 @@ class ByteBPE:
             if k % 2:
                 out.append(self.special[part].to_bytes(4, "little"))
             elif part:
-                words = self.pieces(part)
-                memo = self.memo
-                try:
-                    out.append(b"".join(map(memo.__getitem__, words)))
-                except KeyError:
-                    out.append(b"".join([memo[w] if w in memo else self._learn(w) for w in words]))
+                out.append(b"".join(map(self.memo.__getitem__, self.pieces(part))))
         return b"".join(out)
 
-    def _learn(self, w: str) -> bytes:
-        got = array("I", self.word(w.encode())).tobytes()
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        if len(w) <= 64:
-            self.memo[w] = got
-        return got
-
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
