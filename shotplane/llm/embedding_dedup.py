@@ -22,14 +22,16 @@ from shotplane.llm.minhash import U64, _spread, mix
 WIDTH, NEAR, FAR = 2.0, 0.8738, 0.4862
 #: The chance that a pair at cosine 0.95 shares no table.
 MISS = 0.0004
+#: Tables in which a vector meets one orthogonal vector by chance: more of them cost keys, fewer cost whole vectors.
+CHANCE = 8
 #: Vectors of a block of a bucket.
 BLOCK = 1024
 
 
 def layout(n: int) -> tuple[int, int]:
-    """(projections of a table, tables) for n vectors: so many projections that a vector shares a table with about one
-    orthogonal one, and so many tables that pairs at the threshold are missed with probability MISS."""
-    k = max(8, math.ceil(math.log(max(n, 2)) / -math.log(FAR)))
+    """(projections of a table, tables) for n vectors: so many projections that a vector shares a table with an orthogonal
+    one about once in CHANCE tables, and so many tables that pairs at the threshold are missed with probability MISS."""
+    k = max(8, math.ceil(math.log(CHANCE * max(n, 2)) / -math.log(FAR)))
     return k, math.ceil(math.log(MISS) / math.log1p(-(NEAR**k)))
 
 
