@@ -17,27 +17,56 @@ def in_order(folder: str = "folder") -> Window:
     return Window.partitionBy(folder).orderBy(*ORDER)
 
 
-def starts(shots: DataFrame, cfg: CullConfig = CullConfig()) -> Column:
-    """Whether a frame starts a group: it is its folder's first, comes over scene_gap after the frame before it, is wide
-    where that was tall, or differs from it by over split_dist in signature and main face."""
-    w = in_order()
-    prev = lambda c: F.lag(c).over(w)
-    new = prev("time").isNull() | (F.col("time") - prev("time") > cfg.scene_gap)
-    if cfg.orientation_break and {"width", "height"} <= set(shots.columns):
-        new |= (F.col("width") > F.col("height")) != (prev("width") > prev("height"))
-    if "sig" in shots.columns:
-        dist = sig_dist(F.col("sig"), prev("sig"))
-        if "faces" in shots.columns:
-            box, size = F.get(F.col("faces"), F.lit(0))["bbox"], (F.col("width"), F.col("height"))
-            held = F.lag(F.struct(box.alias("b"), size[0].alias("w"), size[1].alias("h"))).over(w)
-            dist = dist + F.coalesce(face_dist(box, *size, held["b"], held["w"], held["h"]), F.lit(0.0)) * cfg.face_weight
+def compared(shots: DataFrame, cfg: CullConfig) -> Column:
+    """What grouping compares of a frame, in capture order: a struct of time, file and, where they are there, sides,
+    signature and main face's box."""
+    have = set(shots.columns)
+    parts = [F.col("time").alias("time"), F.col("file").alias("file")]
+    if {"width", "height"} <= have:
+        parts += [F.col("width").alias("width"), F.col("height").alias("height")]
+    if "sig" in have:
+        parts.append(F.col("sig").alias("sig"))
+        if "faces" in have:
+            parts.append(F.get(F.col("faces"), F.lit(0))["bbox"].alias("box"))
+    return F.struct(*parts)
+
+
+def begins(now: Column, before: Column, shots: DataFrame, cfg: CullConfig = CullConfig()) -> Column:
+    """Whether a frame starts a group, from what is compared of it and of the frame before it: it is its folder's first,
+    comes over scene_gap later, is wide where that was tall, or differs by over split_dist in signature and main face."""
+    have = set(shots.columns)
+    new = before.isNull() | (now["time"] - before["time"] > cfg.scene_gap)
+    sides = {"width", "height"} <= have
+    if cfg.orientation_break and sides:
+        new |= (now["width"] > now["height"]) != (before["width"] > before["height"])
+    if "sig" in have:
+        dist = sig_dist(now["sig"], before["sig"])
+        if "faces" in have and sides:
+            shift = face_dist(now["box"], now["width"], now["height"], before["box"], before["width"], before["height"])
+            dist = dist + F.coalesce(shift, F.lit(0.0)) * cfg.face_weight
         new |= dist > cfg.split_dist
-    return new
+    return F.coalesce(new, F.lit(False)).cast("int")
+
 
+def group(shots: DataFrame, cfg: CullConfig = CullConfig(), bucket: float | None = None) -> DataFrame:
+    """Adds group_id, from 0 in each folder's capture order.
 
-def group(shots: DataFrame, cfg: CullConfig = CullConfig()) -> DataFrame:
-    """Adds group_id, from 0 in each folder's capture order. One exchange by folder serves the lags and the sum."""
-    return shots.withColumn("_new", F.coalesce(starts(shots, cfg), F.lit(False)).cast("int")).withColumn("group_id", (F.sum("_new").over(in_order()) - 1).cast("int")).drop("_new")
+    One exchange by folder serves the lags and the sum. Where a folder may hold a large share of all frames, `bucket`
+    (seconds) cuts it into stretches of time that are grouped apart: a stretch's first frame is compared with the last of
+    the stretch before, and its numbers follow those of the stretches before. Only one row a stretch is ordered by folder.
+    """
+    now = compared(shots, cfg)
+    if bucket is None:
+        d = shots.withColumn("_new", begins(now, F.lag(now).over(in_order()), shots, cfg))
+        return d.withColumn("group_id", (F.sum("_new").over(in_order()) - 1).cast("int")).drop("_new")
+    d = shots.withColumn("_at", F.floor(F.col("time") / bucket))
+    key, w = ["folder", "_at"], Window.partitionBy("folder", "_at").orderBy(*ORDER)
+    along = Window.partitionBy("folder").orderBy("_at")
+    last = d.groupBy(*key).agg(F.max(now).alias("_last")).select(*key, F.lag("_last").over(along).alias("_edge"))
+    d = d.join(last, key).withColumn("_new", begins(now, F.coalesce(F.lag(now).over(w), F.col("_edge")), shots, cfg))
+    d = d.withColumn("_local", F.sum("_new").over(w))
+    total = d.groupBy(*key).agg(F.sum("_new").alias("_n")).select(*key, (F.sum("_n").over(along) - F.col("_n")).alias("_before"))
+    return d.join(total, key).select(*shots.columns, (F.col("_before") + F.col("_local") - 1).cast("int").alias("group_id"))
 
 
 def regroup(grouped: DataFrame, splits: DataFrame, joins: DataFrame) -> DataFrame:

@@ -49,6 +49,11 @@ def group_similar(spark, sf_dir):
     return group.group(adapters.shots(spark, sf_dir), replace(BREAK, split_dist=0.35)).select(*KEYS, "group_id")
 
 
+def group_stretches(spark, sf_dir):
+    """group_similar over stretches of five days."""
+    return group.group(adapters.shots(spark, sf_dir), replace(BREAK, split_dist=0.35), bucket=432000.0).select(*KEYS, "group_id")
+
+
 def regroup_edits(spark, sf_dir):
     d = grouped(spark, sf_dir, GAP)
     return group.regroup(d, d.where("event_id % 13 = 0"), d.where("event_id % 11 = 0")).select(*KEYS, "group_id")
@@ -255,6 +260,7 @@ ENTRIES = {
     "group_gap": (group_gap, f"with {G_GAP} select folder, file, group_id from grouped"),
     "group_gap_break": (group_gap_break, f"with {G_BREAK} select folder, file, group_id from grouped"),
     "group_similar": (group_similar, f"with {G_SIM} select folder, file, group_id from grouped"),
+    "group_stretches": (group_stretches, f"with {G_SIM} select folder, file, group_id from grouped"),
     "regroup_edits": (regroup_edits, f"with {G_GAP}, x as (select *, lag(group_id) over (partition by folder order by time, file) as pg from grouped) select folder, file, cast(sum(case when pg is null or (event_id % 11 <> 0 and (pg <> group_id or event_id % 13 = 0)) then 1 else 0 end) over (partition by folder order by time, file rows unbounded preceding) - 1 as bigint) as group_id from x"),
     "session_window_gap": (session_window_gap, "with e as (select user_id as folder, epoch_us(ts) as t, value, lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as p from events), g as (select *, sum(case when p is null or t - p > 21600000000 then 1 else 0 end) over (partition by folder order by t rows unbounded preceding) as k from e) select folder, min(t) as started, count(*) as n, round(max(value), 6) as best from g group by folder, k"),
     "judge_scores": (judge_scores, f"with {J} select folder, file, round(rel_sharp, 6) as rel_sharp, round(score, 6) as score from judged"),
