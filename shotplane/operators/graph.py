@@ -38,7 +38,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links: (node, component), the component being its smallest node.
 
     Alternating large and small stars. Each round is one pass of joins over the links that are left, cut to a shared
-    table; a round's joins have one plain exchange a side, so that a hub's links can be split.
+    table, and so are the least neighbours, so that a round's joins have one plain exchange a side and a hub's links can
+    be split.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
@@ -46,12 +47,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(least, both["a"] == least["k"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lows = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
+        least, path_least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")), "least")
+        large, path_large = cut(both.join(least, both["a"] == least["k"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        lows, path_lows = cut(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m"), "lows")
         small = large.join(lows, large["a"] == lows["k"]).select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m")), F.struct(F.col("a").alias("x"), F.col("m")))).alias("s")).select(F.col("s.x").alias("a"), F.col("s.m").alias("b")).where("a <> b").distinct()
         then, path_then = cut(small, "links")
-        discard(spark, path)
+        for old in (path, path_least, path_large, path_lows):
+            discard(spark, old)
         now, path, before, mark = then, path_then, mark, _mark(then)
         if mark == before:
             break
