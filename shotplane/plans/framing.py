@@ -14,8 +14,10 @@ from shotplane.operators import crops, detect, image
 from shotplane.plans import adapters
 from shotplane.plans.adapters import duck
 
-#: A coarser search than the default, so that the oracle's candidates stay few.
-CFG = replace(ReframeConfig(), step=0.05, sizes=4)
+CFG = ReframeConfig()
+#: The coarser search, and the tiles, that the SQL of crop_candidates, crop_steps and tile_spans is written for. The
+#: queries named *_full take the settings as they are.
+COARSE, COARSE_TILES = replace(CFG, step=0.05, sizes=4), 8
 COLS, ROWS = 16, 12
 #: A scene's first face, and the second of every third scene.
 FX, FY = "0.3e0 + px * 0.5e0", "0.2e0 + py * 0.5e0"
@@ -81,13 +83,29 @@ def crop_rules(spark, sf_dir):
     return tried(spark, sf_dir).select("scene", "crop", crops.allowed(CFG).alias("allowed"))
 
 
-def crop_steps(spark, sf_dir):
+def steps(spark: SparkSession, sf_dir: str, cfg: ReframeConfig) -> DataFrame:
     d = adapters.table(spark, sf_dir, "scenes").select("scene", (F.col("px") + 0.35).alias("len"))
-    return d.select("scene", F.posexplode(crops.offsets(F.col("len"), 0.05)).alias("i", "at")).select("scene", "i", F.round("at", 6).alias("at"))
+    return d.select("scene", F.posexplode(crops.offsets(F.col("len"), cfg.step)).alias("i", "at")).select("scene", "i", F.round("at", 6).alias("at"))
+
+
+def crop_steps(spark, sf_dir):
+    return steps(spark, sf_dir, COARSE)
+
+
+def crop_steps_full(spark, sf_dir):
+    return steps(spark, sf_dir, CFG)
 
 
 def crop_candidates(spark, sf_dir):
-    d = crops.candidates(scenes(spark, sf_dir).select("scene", "width", "height"), CFG)
+    return candidate_sums(spark, sf_dir, COARSE)
+
+
+def crop_candidates_full(spark, sf_dir):
+    return candidate_sums(spark, sf_dir, CFG)
+
+
+def candidate_sums(spark: SparkSession, sf_dir: str, cfg: ReframeConfig) -> DataFrame:
+    d = crops.candidates(scenes(spark, sf_dir).select("scene", "width", "height"), cfg)
     return d.groupBy("scene", "rn", "rd", "k").agg(F.count("*").alias("n"), F.round(F.sum("x") + 1e-7, 4).alias("sx"), F.round(F.sum("y") + 1e-7, 4).alias("sy"), F.round(F.max("w"), 6).alias("w"), F.round(F.max("h"), 6).alias("h"))
 
 
@@ -235,7 +253,11 @@ def tile_percentile(spark, sf_dir):
 
 
 def tile_spans(spark, sf_dir):
-    return image.tile_grid(scenes(spark, sf_dir).select("scene", "width", "height"), 8)
+    return image.tile_grid(scenes(spark, sf_dir).select("scene", "width", "height"), COARSE_TILES)
+
+
+def tile_spans_full(spark, sf_dir):
+    return image.tile_grid(scenes(spark, sf_dir).select("scene", "width", "height"))
 
 
 S = f"s0 as ({duck('scenes')}), s as (select *, {FX} as fx, {FY} as fy from s0), t as (select scene, row, col, " + ", ".join(f"{e} as {k}" for k, e in GRID.items()) + f" from s0 cross join (select unnest(range(0, {ROWS})) as row) cross join (select unnest(range(0, {COLS})) as col))"
@@ -279,6 +301,9 @@ RATIO = "with s as ({s}), r as (select scene, {w} as w, {h} as h, {w} / cast({h}
 ENTRIES = {
     "crop_steps": (crop_steps, f"with s as ({duck('scenes')}), l as (select scene, px + 0.35e0 as len from s), i as (select unnest(range(0, 21)) as i) select scene, i, round(case when i <= floor((1 - len) / 0.05e0) then i * 0.05e0 else 1 - len end, 6) as at from l join i on i <= floor((1 - len) / 0.05e0) or (i = floor((1 - len) / 0.05e0) + 1 and 1 - len - (i - 1) * 0.05e0 > 1e-4)"),
     "crop_candidates": (crop_candidates, CAND),
+    "crop_steps_full": (crop_steps_full, None),
+    "crop_candidates_full": (crop_candidates_full, None),
+    "tile_spans_full": (tile_spans_full, None),
     "grid_sat": (grid_sat, f"with {S}, a as (select *, sum(sharp) over (partition by scene, row order by col) as run from t) select scene, row, col, round(sum(run) over (partition by scene, col order by row), 6) as sat from a"),
     "rect_sums": (rect_sums, f"with {S}, {BOXES_SQL}, r as (select scene, crop, x as x0, y as y0, x + w as x1, y + h as y1 from s0 cross join b) select r.scene, r.crop, round(sum(t.sharp * {OVER}), 5) as total, round(sum(t.luma * {OVER}) / max({AREA}), 6) as mean from r join t on r.scene = t.scene group by 1, 2"),
     "crop_terms": (crop_terms, terms_sql("select scene, crop, " + ", ".join(f"round({t} + 1e-9, 5) as {t}" for t in TERMS) + " from z")),
