@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotplane.config import CullConfig
+from shotplane.config import KNOBS, CullConfig
 from shotplane.functions import faces as faces_of
 from shotplane.functions import text
 from shotplane.functions.text import badge, eyes_text, lift
@@ -181,19 +181,28 @@ def missed_rejects(spark, sf_dir):
     return calibrate.missed_rejects(judged(spark, sf_dir)).select(*KEYS, F.array_join("reasons", ",").alias("reasons"), F.round("rel_sharp", 6).alias("rel_sharp"), F.round(F.get("blink", F.lit(0)), 6).alias("blink0"), F.round(F.get("blink", F.lit(1)), 6).alias("blink1"))
 
 
+#: The values that the SQL of knob_sweep has branches for; knob_sweep_full tries all of the threshold's.
 SWEEP = (0.25, 0.5, 0.8)
 
 
-def knob_sweep(spark, sf_dir):
+def swept(spark: SparkSession, sf_dir: str, values: list[float]) -> DataFrame:
     own = adapters.table(spark, sf_dir, "decisions")
-    errors = calibrate.sweep(grouped(spark, sf_dir), own, BREAK, "soft_rel", list(SWEEP))
-    return spark.createDataFrame([(float(v), int(e)) for v, e in zip(SWEEP, errors)], "value double, errors long")
+    errors = calibrate.sweep(grouped(spark, sf_dir), own, BREAK, "soft_rel", values)
+    return spark.createDataFrame([(float(v), int(e)) for v, e in zip(values, errors)], "value double, errors long")
+
+
+def knob_sweep(spark, sf_dir):
+    return swept(spark, sf_dir, list(SWEEP))
+
+
+def knob_sweep_full(spark, sf_dir):
+    return swept(spark, sf_dir, next(calibrate.knob_values(*r) for k, *r in KNOBS if k == "soft_rel"))
 
 
 def calibrate_search(spark, sf_dir):
-    """One round over the five thresholds: the search is a loop of jobs, one for each."""
+    """Rounds over the five thresholds until none moves, three at most: a loop of jobs, one for each threshold."""
     d, own = grouped(spark, sf_dir), adapters.table(spark, sf_dir, "decisions")
-    best, before, after = calibrate.calibrate(d, own, BREAK, rounds=1)
+    best, before, after = calibrate.calibrate(d, own, BREAK)
     rows = calibrate.suggestions(BREAK, best) or [("none", 0.0, 0.0)]
     return spark.createDataFrame([(k, a, b, before, after) for k, a, b in rows], "param string, current double, suggested double, errors_before long, errors_after long")
 
@@ -287,5 +296,6 @@ ENTRIES = {
     "reason_stats": (reason_stats, f"with {E}, x as (select decided, unnest(string_split(reasons, ',')) as reason from eff where decided is not null and reasons <> '') select reason, count(*) as flagged, count(*) filter (where decided = 'reject') as rejected, count(*) filter (where decided = 'pick') as picked from x group by 1"),
     "missed_rejects": (missed_rejects, f"with {E}, f as (select folder, file, blink0, blink1 from (select *, row_number() over (partition by folder, file order by least(blink0, blink1) desc, k desc) as n from faces) where n = 1) select e.folder, e.file, e.reasons, round(e.rel_sharp, 6) as rel_sharp, round(f.blink0, 6) as blink0, round(f.blink1, 6) as blink1 from eff e left join f on e.folder = f.folder and e.file = f.file where e.decided = 'reject' and e.mark <> 'reject'"),
     "knob_sweep": (knob_sweep, sweep_sql()),
+    "knob_sweep_full": (knob_sweep_full, None),
     "calibrate_search": (calibrate_search, None),
 }

@@ -2,6 +2,7 @@
 
 import math
 import os
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -9,8 +10,8 @@ from oracle import ROOT
 from pyspark.sql import functions as F
 
 from shotplane.config import ReframeConfig
-from shotplane.operators import crops
-from shotplane.plans import framing
+from shotplane.operators import calibrate, crops
+from shotplane.plans import culling, framing
 
 SF = f"{ROOT}/{os.environ.get('TEST_SF', 'sf0.001')}"
 
@@ -72,3 +73,22 @@ def test_steps_and_tiles_of_the_settings(spark):
         assert got[scene] == pytest.approx(places(n, 0.015), abs=2e-6)
     long = framing.tile_spans_full(spark, SF).groupBy("scene").agg(F.max(F.greatest("row", "col")).alias("m")).select("m").distinct().collect()
     assert [r.m for r in long] == [63]
+
+
+def test_calibration_goes_on_to_later_rounds(spark, monkeypatch):
+    """A move of a later threshold lets an earlier one mend more, which one round would miss."""
+
+    def sweep(shots, decisions, cfg, knob, values):
+        tried = [replace(cfg, **{knob: v}) for v in values]
+        return [3 if c.soft_rel == 0.5 else 2 if c.blink_closed == 0.45 else 1 for c in tried]
+
+    monkeypatch.setattr(calibrate, "sweep", sweep)
+    rows = {r.param: r for r in culling.calibrate_search(spark, SF).collect()}
+    assert rows.keys() == {"blink_closed", "soft_rel"}
+    assert {(r.errors_before, r.errors_after) for r in rows.values()} == {(3, 1)}
+
+
+def test_sweep_tries_all_values(spark):
+    got = {round(r.value, 3): r.errors for r in culling.knob_sweep_full(spark, SF).collect()}
+    assert sorted(got) == [round(0.25 + 0.025 * k, 3) for k in range(23)]
+    assert {r.value: r.errors for r in culling.knob_sweep(spark, SF).collect()}.items() <= got.items()
