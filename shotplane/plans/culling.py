@@ -156,10 +156,21 @@ def visible_groups(spark, sf_dir):
     return view.visible_groups(view.tiles(judged(spark, sf_dir), "rejected"))
 
 
+def toggles(d: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Frames of d among the chosen ones, with their decision after a key for a pick and after their group is marked."""
+    whole = view.mark_groups(chosen, "reject").select(*KEYS, F.col("decided").alias("grouped"))
+    return d.select(*KEYS, view.toggled(F.col("decided"), "pick").alias("toggled")).join(whole, list(KEYS))
+
+
 def mark_toggles(spark, sf_dir):
+    """The frames that its SQL is written for; mark_toggles_full marks all."""
     d = judged(spark, sf_dir)
-    whole = view.mark_groups(d.where("event_id % 3 = 0"), "reject").select(*KEYS, F.col("decided").alias("grouped"))
-    return d.select(*KEYS, view.toggled(F.col("decided"), "pick").alias("toggled")).join(whole, list(KEYS))
+    return toggles(d, d.where("event_id % 3 = 0"))
+
+
+def mark_toggles_full(spark, sf_dir):
+    d = judged(spark, sf_dir)
+    return toggles(d, d)
 
 
 def reason_labels(spark, sf_dir):
@@ -291,6 +302,7 @@ ENTRIES = {
     "accepted_groups": (accepted_groups, f"with {E} select effective as decided, count(*) as n from eff group by 1"),
     "visible_groups": (visible_groups, f"with {E} select folder, group_id, row_number() over (partition by folder order by group_id) as place from (select distinct folder, group_id from eff where decided = 'reject')"),
     "mark_toggles": (mark_toggles, f"with {E}, g as (select folder, group_id, bool_and(coalesce(decided, '') = 'reject') as has from eff where event_id % 3 = 0 group by 1, 2) select e.folder, e.file, case when e.decided = 'pick' then 'none' else 'pick' end as toggled, case when g.has then 'none' else 'reject' end as grouped from eff e join g on e.folder = g.folder and e.group_id = g.group_id where e.event_id % 3 = 0"),
+    "mark_toggles_full": (mark_toggles_full, None),
     "reason_labels": (reason_labels, f"with {E}, x as (select folder, file, unnest(string_split(reasons, ',')) as reason, unnest(range(0, len(string_split(reasons, ',')))) as i from eff where reasons <> '') select folder, file, i, case reason when 'soft-frame' then 'soft' else replace(reason, '-', ' ') end as label, case when reason in ('eyes-closed', 'soft-eyes', 'soft-frame', 'face-cut') then 'bad' when reason in ('sharpest', 'smile') then 'good' else 'info' end as tone from x"),
     "mark_agreement": (mark_agreement, f"with m as ({duck('marks')}) " + " union all ".join(AGREE.format(m=m) for m in ("reject", "pick"))),
     "reason_stats": (reason_stats, f"with {E}, x as (select decided, unnest(string_split(reasons, ',')) as reason from eff where decided is not null and reasons <> '') select reason, count(*) as flagged, count(*) filter (where decided = 'reject') as rejected, count(*) filter (where decided = 'pick') as picked from x group by 1"),

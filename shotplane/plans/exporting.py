@@ -115,14 +115,23 @@ def dry_run(spark, sf_dir):
     return export.route(planned(spark, sf_dir), have).groupBy("route", "rating").agg(F.count("*").alias("n"))
 
 
-def imported_files(spark, sf_dir):
-    """Film rolls from nations, images from customers."""
+def imports(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """Film rolls from nations, images from customers; which rolls are asked for."""
     rolls = adapters.load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("/p/"), "n_name").alias("roll"))
     imgs = adapters.load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("film_id"), F.col("c_name").alias("filename"))
-    asked = rolls.where("id % 4 = 1").select(F.lower("roll").alias("folder"), "roll")
+    asked = rolls.where(which).select(F.lower("roll").alias("folder"), "roll")
     return editor.imported(rolls, imgs, asked)
 
 
+def imported_files(spark, sf_dir):
+    """The rolls that its SQL asks for; imported_files_full asks for all."""
+    return imports(spark, sf_dir, "id % 4 = 1")
+
+
+def imported_files_full(spark, sf_dir):
+    return imports(spark, sf_dir, "true")
+
+
 def xml_list(spark, sf_dir):
     d = adapters.load(spark, sf_dir, "pages")
     return d.select("page_id", F.array_join(text.list_items(F.col("html"), "p"), "|").alias("items"))
@@ -178,6 +187,7 @@ ENTRIES = {
     "send_report": (send_report, f"with {PLAN}, {IMAGES}, o as (select p.folder, case when i.file is not null and p.folder % 2 = 0 then 'queued' when cast(p.file as bigint) % 23 = 0 then 'failed' else 'written' end as outcome from p left join i on p.folder = i.folder and p.file = i.file union all select p.folder, 'missing' from p left join i on p.folder = i.folder and p.file = i.file where i.file is null and p.folder % 2 = 0) select folder, count(*) filter (where outcome = 'written') as written, count(*) filter (where outcome = 'queued') as queued, count(*) filter (where outcome = 'failed') as failed, count(*) filter (where outcome = 'missing') as missing from o group by 1"),
     "dry_run": (dry_run, f"with {PLAN}, {IMAGES} select case when i.file is not null and p.folder % 2 = 0 then 'queue' else 'sidecar' end as route, p.rating, count(*) as n from p left join i on p.folder = i.folder and p.file = i.file group by 1, 2"),
     "imported_files": (imported_files, "select lower('/p/' || n_name) as folder, '/p/' || n_name as roll, c_name as file from nation join customer on n_nationkey = c_nationkey where n_nationkey % 4 = 1"),
+    "imported_files_full": (imported_files_full, None),
     "xml_list": (xml_list, "select page_id, array_to_string(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), '|') as items from pages"),
     "xml_attr": (xml_attr, r"""select page_id, case when regexp_matches(html, '\slang="([^"]*)"') then regexp_extract(html, '\slang="([^"]*)"', 1) end as lang, case when regexp_matches(html, '\shref="([^"]*)"') then regexp_extract(html, '\shref="([^"]*)"', 1) end as href, length(html) + 4 * (length(html) - length(replace(html, '&', ''))) + 3 * (length(html) - length(replace(html, '<', ''))) + 3 * (length(html) - length(replace(html, '>', ''))) + 5 * (length(html) - length(replace(html, '"', ''))) as escaped from pages"""),
     "xmp_edit_roundtrip": (xmp_edit_roundtrip, f"with {PLAN} select folder, file, case when rating = 'keep' then null else cast(substr(rating, 5) as int) end as rating, {JOIN.format('add')} as tags, case when green = 'set' then 1 else 0 end as labels, true as same from p where rating not like 'restore%'"),

@@ -77,15 +77,23 @@ def numbered_people(spark, sf_dir):
     return people.numbered(d).select("folder", "person_id", "shown")
 
 
-def learned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faces of each label below 4 as embeds of a name: P3 is known, the others are new."""
-    d = adapters.load(spark, sf_dir, "embeddings").where("label < 4")
+def learned(spark: SparkSession, sf_dir: str, which: str = "label < 4") -> DataFrame:
+    """Faces of each label, of those below 4 for the SQL, as embeds of a name: P3 is known, others are new."""
+    d = adapters.load(spark, sf_dir, "embeddings").where(which)
     e = d.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v")))), lambda s: s["v"]).alias("embeds"))
     return e.select(F.concat(F.lit(" p"), F.col("label").cast("string")).alias("name"), "embeds")
 
 
 def library_learn_cap(spark, sf_dir):
-    d = people.learn(library(spark, sf_dir), learned(spark, sf_dir))
+    return ends(people.learn(library(spark, sf_dir), learned(spark, sf_dir)))
+
+
+def library_learn_cap_full(spark, sf_dir):
+    """Learns from the faces of all labels."""
+    return ends(people.learn(library(spark, sf_dir), learned(spark, sf_dir, "label is not null")))
+
+
+def ends(d: DataFrame) -> DataFrame:
     return d.select("id", "name", F.size("samples").alias("n"), F.round(F.get(F.element_at("samples", 1), F.lit(0)), 5).alias("first"), F.round(F.get(F.element_at("samples", -1), F.lit(0)), 5).alias("last"))
 
 
@@ -126,6 +134,7 @@ ENTRIES = {
     b as (select *, row_number() over (partition by id order by r desc) as back from a), c as (select *, row_number() over (partition by id order by r) as fwd, count(*) over (partition by id) as n from b where back <= 24)
     select id, name, max(n) as n, round(max(case when fwd = 1 then cast(v[1] as double) end), 5) as first, round(max(case when back = 1 then cast(v[1] as double) end), 5) as last from c group by 1, 2""",
     ),
+    "library_learn_cap_full": (library_learn_cap_full, None),
     "library_rename_merge": (library_rename_merge, f"with l as ({duck('library')}) select id, case when id = 203 then 'Ann' else name end as name, case when id = 3 then 2 else 1 end as n from l where id not in (103, 303)"),
     "cluster_people": (cluster_people, None),
 }

@@ -6,12 +6,12 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
-from oracle import ROOT
+from oracle import ROOT, connect
 from pyspark.sql import functions as F
 
 from shotplane.config import ReframeConfig
 from shotplane.operators import calibrate, crops
-from shotplane.plans import culling, framing
+from shotplane.plans import culling, exporting, framing, identity
 
 SF = f"{ROOT}/{os.environ.get('TEST_SF', 'sf0.001')}"
 
@@ -92,3 +92,28 @@ def test_sweep_tries_all_values(spark):
     got = {round(r.value, 3): r.errors for r in culling.knob_sweep_full(spark, SF).collect()}
     assert sorted(got) == [round(0.25 + 0.025 * k, 3) for k in range(23)]
     assert {r.value: r.errors for r in culling.knob_sweep(spark, SF).collect()}.items() <= got.items()
+
+
+def test_toggles_of_all_frames(spark):
+    frames = culling.judged(spark, SF).select("folder", "file", "group_id", "decided").collect()
+    groups = {}
+    for r in frames:
+        groups.setdefault((r.folder, r.group_id), []).append(r.decided == "reject")
+    want = {(r.folder, r.file): ("none" if r.decided == "pick" else "pick", "none" if all(groups[r.folder, r.group_id]) else "reject") for r in frames}
+    got = culling.mark_toggles_full(spark, SF).collect()
+    assert len(got) == len(frames) and {(r.folder, r.file): (r.toggled, r.grouped) for r in got} == want
+
+
+def test_a_group_is_toggled_by_all_its_frames(spark):
+    d = spark.createDataFrame([("f", "1", 0, "reject"), ("f", "2", 0, "pick"), ("f", "3", 1, "reject")], "folder string, file string, group_id long, decided string")
+    assert {r.file: r.grouped for r in culling.toggles(d, d).collect()} == {"1": "reject", "2": "reject", "3": "none"}
+    assert {r.file: r.grouped for r in culling.toggles(d, d.where("file <> '2'")).collect()} == {"1": "none", "3": "none"}
+
+
+def test_all_labels_are_learned_and_all_rolls_imported(spark):
+    con = connect(SF)
+    labels = {f"p{x}" for (x,) in con.execute("select distinct label from embeddings where label is not null").fetchall()}
+    names = {r.name.lower() for r in identity.library_learn_cap_full(spark, SF).collect()}
+    assert len(labels) > 4 and labels <= names
+    want = con.execute("select lower('/p/' || n_name), '/p/' || n_name, c_name from nation join customer on n_nationkey = c_nationkey").fetchall()
+    assert sorted(map(tuple, exporting.imported_files_full(spark, SF).select("folder", "roll", "file").collect())) == sorted(want)
