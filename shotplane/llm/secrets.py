@@ -16,15 +16,16 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
-#: Weak parts: names of accounts, opaque keys, and places where credentials are used.
-IDENT = r"""(?<![A-Za-z0-9._+-])(?:(?i:client_id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,128}|[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})"""
-KEY = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20"'<>]{4,512}"""
+#: Weak parts: names of accounts, opaque keys, and places where credentials are used. None has a greatest length;
+#: possessive quantifiers keep them linear.
+IDENT = r"""(?<![A-Za-z0-9._+-])(?:(?i:client_id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}+|[A-Za-z0-9._+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)"""
+KEY = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])"
+ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20"'<>]{4,}+"""
 #: All kinds in their order, and what each is a part of.
 KINDS = {"assign": "secret", "access": "identifier", "hex": "secret", "ident": "identifier", "key": "secret", "endpoint": "endpoint"}
 #: Weak kinds and the parts that complete them.
 COMPLEMENTS = {"ident": ["secret"], "key": ["identifier", "endpoint"], "endpoint": ["secret"]}
-#: Code points between the starts of two parts of one credential.
+#: Code points between two parts of one credential.
 SCOPE = 256
 #: Numbers that a prefix sum adds at once.
 STRIDE = 256
@@ -93,7 +94,7 @@ def _named(kind: str, found: Column) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(list(KINDS).index(kind)).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+def scan_secrets(docs: DataFrame, scope: int = SCOPE, by_end: bool = False) -> DataFrame:
     """Finds secrets in every whole text and links parts of one credential.
 
     Returns a row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked and found, the
@@ -102,9 +103,11 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     out.
 
     Base kinds are found as they are. Weak parts (account names, opaque keys, endpoints) are looked for beside them, in
-    the text without base matches. A weak part is reported only if a part that completes it starts within `scope` code
-    points of it in the same document. That interval join is an equal join on bins of that width, against each bin's
-    first and last start by part, so no pairs of a crowded text are made.
+    the text without base matches. A weak part is reported only if at most `scope` code points lie between it and a part
+    that completes it in the same document, from the end of one to the start of the other, as op2_secrets and redact ask
+    with by_end; else from start to start. That interval join is an equal join on bins of that width, which a part has
+    from its start to that end, against each bin's first start and last end by part, so no pairs of a crowded text are
+    made: two parts of one bin lie less than its width apart, so one of them is near wherever both together seem so.
     """
     text = F.coalesce("text", F.lit(""))
     d = docs.select("doc_id", text.alias("text"))
@@ -118,13 +121,15 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     every = F.concat(*(_named(k, F.col(k)) for k in KINDS))
     role = F.element_at(F.create_map(*(F.lit(x) for k, v in KINDS.items() for x in (k, v))), F.col("p.kind"))
+    end = F.col("p.end") if by_end else F.col("p.start")
     needy = rows.where(" or ".join(f"size({k}) > 0" for k in COMPLEMENTS))
-    parts = needy.select("doc_id", "h", F.explode(every).alias("p")).select("doc_id", "h", "p", role.alias("role"), F.floor(F.col("p.start") / scope).cast("long").alias("bin"))
-    bins = parts.groupBy("doc_id", "h", "bin", "role").agg(F.min("p.start").alias("lo"), F.max("p.start").alias("hi")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("bin").alias("at"), F.col("role").alias("other"), "lo", "hi")
+    parts = needy.select("doc_id", "h", F.explode(every).alias("p")).select("doc_id", "h", "p", role.alias("role"), F.col("p.start").alias("from"), end.alias("to")).withColumns({"first": F.floor(F.col("from") / scope).cast("long"), "last": F.floor(F.col("to") / scope).cast("long")})
+    held = parts.select("doc_id", "h", "role", "from", "to", F.explode(F.sequence("first", "last")).alias("bin"))
+    bins = held.groupBy("doc_id", "h", "bin", "role").agg(F.min("from").alias("lo"), F.max("to").alias("hi")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("bin").alias("at"), F.col("role").alias("other"), "lo", "hi")
     wants = F.create_map(*(x for k, v in COMPLEMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    weak = parts.where(F.col("p.kind").isin(*COMPLEMENTS)).select("doc_id", "h", "p", "bin", F.explode(F.element_at(wants, F.col("p.kind"))).alias("want")).select("doc_id", "h", "p", "want", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("near"))
+    weak = parts.where(F.col("p.kind").isin(*COMPLEMENTS)).select("doc_id", "h", "p", "from", "to", "first", "last", F.explode(F.element_at(wants, F.col("p.kind"))).alias("want")).select("doc_id", "h", "p", "from", "to", "want", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("near"))
     met = weak.join(bins, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("near") == F.col("at")) & (F.col("want") == F.col("other")))
-    linked = met.where((F.col("lo") <= F.col("p.start") + scope) & (F.col("hi") >= F.col("p.start") - scope)).groupBy("doc_id", "h").agg(F.collect_set("p").alias("linked")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "linked")
+    linked = met.where((F.col("lo") <= F.col("to") + scope) & (F.col("hi") >= F.col("from") - scope)).groupBy("doc_id", "h").agg(F.collect_set("p").alias("linked")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "linked")
 
     base = F.array_sort(F.concat(*(_named(k, F.col(k)) for k in ("assign", "access", "hex"))))
     out = rows.select("doc_id", "h", *(F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")), base.alias("base")).join(linked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
@@ -140,7 +145,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataF
     Only the rows' spans are joined to the texts, by id and a hash of the text.
     """
     i, h, own, hit, clean = unused(docs, "_id", "_hash", "_own", "_hit", "_clean")
-    found = scan_secrets(docs, scope).where("size(found) > 0").select(F.col("doc_id").alias(i), F.col("_h").alias(h), F.col("found").alias(hit)).distinct()
+    found = scan_secrets(docs, scope, by_end=True).where("size(found) > 0").select(F.col("doc_id").alias(i), F.col("_h").alias(h), F.col("found").alias(hit)).distinct()
     marked = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
