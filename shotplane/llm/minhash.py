@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 
 from shotplane.llm.common import blocks, components, cut, id_field, map_batches, map_groups, unused
 
-#: Words of a shingle; the base and rate of the registers; registers, and registers of a band.
+#: Words of a shingle; the base and rate of the registers; registers, and registers of a band at 85 percent.
 WORDS, BASE, RATE, REGISTERS, BAND = 5, 1.001, 20.0, 256, 8
+#: Probability below which a pair at the threshold may share no band.
+MISSED = 1e-4
 #: Standard deviations below the threshold to which the likelihood's estimate may fall before a pair is dropped.
 MARGIN = 4.0
 #: Documents of a block of a bucket, and shingles of a block of a candidate component.
@@ -97,6 +99,12 @@ def sketch(hashes: np.ndarray, registers: int = REGISTERS, base: float = BASE, r
     return to_registers(minima(hashes, registers), base, rate)
 
 
+def band_size(percent: int, registers: int = REGISTERS) -> int:
+    """The most registers of a band with which a pair at the threshold is missed with a probability below MISSED."""
+    j = percent / 100
+    return max((b for b in range(1, registers + 1) if (1 - j**b) ** (registers // b) < MISSED), default=1)
+
+
 def band_keys(regs: np.ndarray, band: int = BAND) -> np.ndarray:
     parts = regs[: len(regs) // band * band].astype(U64).reshape(-1, band)
     h = np.arange(len(parts), dtype=U64)
@@ -150,7 +158,7 @@ def _shared(a_lo: int, a_hi: int, flat: np.ndarray, starts: np.ndarray, ends: np
     return got
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, registers: int = REGISTERS, band: int = BAND) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, registers: int = REGISTERS, band: int | None = None) -> DataFrame:
     """Groups documents that are linked by near-duplicate texts.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of word shingles. Returns a row for
@@ -162,13 +170,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, regi
 
     1. A worker makes each text's set, its digest and its registers. Equal sets become one representative (tasks combine
        them first), so a group of copies of any size costs one row.
-    2. Bands of registers are counted; keys held by one representative only go, and of keys with the same members one
+    2. Bands of registers, as wide as the threshold allows (band_size), are counted; keys held by one representative only go, and of keys with the same members one
        stays. Within a bucket, blocks of representatives meet pair by pair of blocks, and joint likelihood of registers
        tells which may be similar; a spanning forest of these leaves the task, never all pairs.
     3. Within each component of candidates, the full sets are compared, again block by block: an exact search by
        breadth, which skips pairs that are already connected. Its forest gives the components.
     """
     docs = docs.select("doc_id", "text")
+    band = band or band_size(percent, registers)
     j0 = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / registers) ** 0.5
     kinds = T.StructType([id_field(docs, "doc_id"), *(T.StructField(n, T.LongType()) for n in ("n", "fp", "fq")), T.StructField("regs", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType(), False))])
 
