@@ -13,38 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotplane.llm.common import cut, discard, id_field, map_batches
-from shotplane.llm.token_counts import encode_spliced, encoder, tokenizer_path
+from shotplane.llm.token_counts import CHUNK, encode_spliced, encoder, fast_encoder, tokenizer_path
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 1024, 2
 #: Free tokens up to which a bin is nearly full, pieces a task packs at once, bins that one merge takes, partitions it joins.
 NEARLY, AT_ONCE, MERGE, FAN_IN = 2, 50_000, 20_000, 8
-#: Characters up to which a text is encoded at once.
-AT_ONCE_CHARS = 1 << 18
 
-_CODERS: dict[str, object] = {}
 
-
-def coder(path: str):
-    """A function from a text to its ids as bytes, by the ranks of a tokenizers file. Long texts are encoded in spliced
-    chunks by the library itself, which is loaded once one comes."""
-    if path not in _CODERS:
-        import public_tokenizers
-        import tiktoken
-
-        from shotplane.llm.bpe import read_vocabulary
-
-        words, special = read_vocabulary(path)
-        plain = {w: i for i, w in enumerate(words) if i not in special.values()}
-        fast = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=plain, special_tokens=special)
-
-        def encode(text: str) -> bytes:
-            if len(text) > AT_ONCE_CHARS:
-                return np.asarray(encode_spliced(encoder(path), text), "<u4").tobytes()
-            return fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
-
-        _CODERS[path] = encode
-    return _CODERS[path]
+def encode_text(path: str, text: str) -> bytes:
+    """The ids of a text as bytes; long texts are encoded in spliced chunks by the library, loaded once one comes."""
+    ids = fast_encoder(path)(text) if len(text) <= CHUNK else np.asarray(encode_spliced(encoder(path), text))
+    return ids.astype("<u4", copy=False).tobytes()
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -101,7 +81,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, ending = coder(path), int(end).to_bytes(4, "little")
+        ending = int(end).to_bytes(4, "little")
         part, made = TaskContext.get().partitionId(), 0
         ids: list[pa.Array] = []
         rows: list[tuple] = []
@@ -123,7 +103,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
         for b in batches:
             ids.append(b.column(0))
             for i, x in enumerate(b.column(1).to_pylist()):
-                data = encode(x) + ending
+                data = encode_text(path, x) + ending
                 for k, (a, n) in enumerate(cut_pieces(len(data) // 4, capacity)):
                     rows.append((seen + i, k, a, n, zlib.crc32(data[4 * a : 4 * (a + n)])))
             seen += b.num_rows

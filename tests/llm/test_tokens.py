@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 import zlib
 from collections import defaultdict
@@ -79,3 +80,11 @@ def test_packing_is_whole_and_tight(spark, capacity):
     assert want == sorted((r.doc_id if r.doc_id is not None else -1, r.piece, r.start, r.length, r.ids_crc32) for r in out)
     assert len(by_bin) <= 1.1 * sum(map(len, ids)) / capacity + 2
     assert packing.pack(d.limit(0)).count() == 0
+
+
+def test_fast_encoder_equals_the_library():
+    r = random.Random(8)
+    letters = [*map(chr, range(0x20, 0x180)), *(chr(r.randrange(0x180, 0xD800)) for _ in range(200)), *(chr(r.randrange(0xE000, 0x11000)) for _ in range(60)), "\n", "\t", "\r\n", "   ", "<|endoftext|>", "'s", "'LL", "​", "́", "\U0001f600", "\x00", "\x85"]
+    texts = ["".join(r.choices(letters, k=r.randrange(1, 50))) for _ in range(4000)] + TEXTS
+    fast = token_counts.fast_encoder(token_counts.tokenizer_path())
+    assert [fast(x).tolist() for x in texts] == library(texts)
