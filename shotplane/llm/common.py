@@ -8,18 +8,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotplane.operators.graph import blocks, components, cut, discard, scratch
 
-__all__ = ["blocks", "components", "cut", "discard", "id_field", "map_batches", "map_groups", "scratch", "small_batches", "spread", "table", "tidy", "unused"]
+__all__ = ["blocks", "components", "cut", "discard", "id_field", "key_filter", "map_batches", "map_groups", "passing", "scratch", "spread", "table", "tidy", "unused"]
 
-#: Texts that reach a Python worker at once, so that a batch of long ones stays small.
+#: Rows that a Python function gets at once. The bytes of a batch that reaches a worker are bounded by Spark itself
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set).
 BATCH_ROWS = 1024
 #: Bytes of input a core below which rows are dealt to all cores before Python reads them.
 SMALL = 4 << 20
 
+#: Words of 64 bits of a key filter: however many keys there are, no more than this is broadcast (some 20 MB).
+FILTER_WORDS = 1 << 19
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,15 +41,32 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small_batches(spark: SparkSession) -> None:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def id_field(df: DataFrame, name: str) -> T.StructField:
     return T.StructField(name, df.schema[name].dataType, True)
 
 
+def _bit(h: Column) -> Column:
+    return F.pmod(h, F.lit(FILTER_WORDS * 64))
+
+
+def key_filter(hashes: DataFrame, repeated: bool = False) -> DataFrame:
+    """A bitmap filter, as a table of words (word, bits), of the 64-bit hashes in column `h`; with `repeated`, of those
+    whose bit is met more than once. It never misses a key; the fuller it is, the more others pass, too."""
+    bits = hashes.select(_bit(F.col("h")).alias("p"))
+    if repeated:
+        bits = bits.groupBy("p").agg(F.count("*").alias("n")).where("n > 1")
+    return bits.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+
+
+def passing(df: DataFrame, h: Column, words: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose hash a filter may hold; with inside=False those which it does not hold. Nothing is shuffled: the
+    words are broadcast, and there are at most FILTER_WORDS of them. Write the words first, so that both halves agree."""
+    w, b = unused(df, "_word", "_bits")
+    held = F.broadcast(words.select(F.col("word").alias(w), F.col("bits").alias(b)))
+    hit = (F.shiftright(_bit(h), 6) == F.col(w)) & (F.getbit(F.col(b), _bit(h).bitwiseAND(63).cast("int")) == 1)
+    return df.join(held, hit, "left_semi" if inside else "left_anti")
+
+
 def tidy() -> None:
     """Gives memory that a task has freed back to the system: workers live on, and their executor's bound is shared."""
     pa.default_memory_pool().release_unused()
@@ -64,10 +86,9 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     """mapInArrow over batches of few rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from fn(batches)
+        yield from fn(b.slice(lo, BATCH_ROWS) for b in batches for lo in range(0, b.num_rows, BATCH_ROWS))
         tidy()
 
-    small_batches(df.sparkSession)
     return spread(df).mapInArrow(run, schema)
 
 
@@ -120,7 +141,6 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[dict[str, np.ndarray | lis
             yield flush()
         tidy()
 
-    small_batches(df.sparkSession)
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 

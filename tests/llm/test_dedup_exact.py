@@ -1,52 +1,85 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
 from shotplane.llm import dedup_exact
 
 
+def norm(t):
+    return re.sub(r"[\x20\x09-\x0D]", "", t or "")
+
+
 def brute(rows):
+    """(id, keep_id, size, sha) of each row; and how many rows of each text are kept: one."""
     groups = defaultdict(list)
-    norm = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in rows]
-    for (i, t), n in zip(rows, norm):
-        groups[n].append((-len(t or ""), i is None, i if i is not None else 0, i))
-    best = {n: min(g)[3] for n, g in groups.items()}
-    return sorted((str(i), str(best[n]), len(groups[n]), i == best[n], hashlib.sha256(n.encode()).hexdigest()) for (i, _), n in zip(rows, norm))
+    for i, t in rows:
+        groups[norm(t)].append((-len(t or ""), i is None, i if i is not None else 0, i))
+    best = {n: min(g, key=lambda x: x[:3])[3] for n, g in groups.items()}
+    return sorted((str(i), str(best[norm(t)]), len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows)
 
 
-ROWS = [(5, "a b c"), (1, "abc"), (2, "a\tb\nc"), (3, None), (4, ""), (6, " \r\x0b\x0c"), (7, "a b"), (8, "ab"), (1, "abc"), (None, "zz"), (9, "z z"), (10, "é" * 5), (11, "long " * 3000), (12, "long" * 3000)]
+ROWS = [(5, "a b c"), (1, "abc"), (2, "a\tb\nc"), (3, None), (4, ""), (6, " \r\x0b\x0c"), (7, "a b"), (8, "ab"), (1, "abc"), (None, "zz"), (9, "z z"), (10, "é" * 5), (11, "long " * 3000), (12, "long" * 3000)]
+#: An id that has the shorter and the longer text, and rows that tie in length and id.
+REPEATED = [(1, "abc"), (1, "a b c"), (2, "ab c"), (7, "x y"), (7, "x y"), (7, "xy "), (8, "xy"), (None, "q"), (None, "q")]
 
 
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, 1, "q", True) for i, t in rows], "doc_id long, text string, group_size int, digest string, kept boolean")
 
 
+def check(got, rows):
+    got = got.collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == brute(rows)
+    kept = Counter(r.text_sha256 for r in got if r.kept)
+    assert kept == dict.fromkeys({r.text_sha256 for r in got}, 1)
+    assert all(str(r.doc_id) == str(r.keep_id) for r in got if r.kept)
+
+
 def test_equals_brute_force(spark):
-    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in dedup_exact.exact_duplicates(frame(spark, ROWS)).collect())
-    assert got == brute(ROWS)
-    assert dedup_exact.exact_duplicates(frame(spark, [])).count() == 0
+    for rows in (ROWS, REPEATED, []):
+        check(dedup_exact.exact_duplicates(frame(spark, rows)), rows)
+
+
+def test_many_runs_are_merged_in_rounds(spark):
+    rows = [(i, f"{'w ' * (i % 7)}text {i % 60}") for i in range(400)] + ROWS + REPEATED
+    index = dedup_exact.DigestIndex(spark, fan_in=2)
+    check(dedup_exact.exact_duplicates(frame(spark, rows).repartition(11), index), rows)
+    assert index.runs == 11 and index.rounds == [6, 3, 2, 1]
+    per_run = index.rows().groupBy("run").agg(F.collect_list("digest").alias("d")).collect()
+    assert len(per_run) == 11 and all(r.d == sorted(r.d) for r in per_run)
+
+
+def test_a_later_flush_joins_the_earlier_runs(spark):
+    index = dedup_exact.DigestIndex(spark)
+    index.flush(frame(spark, ROWS))
+    before = index.runs
+    check(dedup_exact.exact_duplicates(frame(spark, REPEATED), index), ROWS + REPEATED)
+    assert index.runs > before
 
 
-def test_runs_merge(spark):
-    d, index = frame(spark, ROWS), dedup_exact.DigestIndex(spark)
-    for part in (d.where("doc_id < 5"), d.where("doc_id >= 5 or doc_id is null")):
-        index.flush(index.entries(part))
-    assert len(index.runs) == 2
-    got = {r.digest: (r.keep_id, r.group_size) for r in index.compact().collect()}
-    assert got == {x[4]: (None if x[1] == "None" else int(x[1]), x[2]) for x in brute(ROWS)}
-    assert len(index.runs) == 1
+def test_unique_digests_pass_no_filter(spark):
+    rows = [(i, f"text {i}") for i in range(300)] + [(900, "text 5"), (901, "text 6")]
+    index = dedup_exact.DigestIndex(spark)
+    check(dedup_exact.exact_duplicates(frame(spark, rows), index), rows)
+    held = dedup_exact.passing(index.rows(), F.xxhash64("digest"), index.filter())
+    assert 4 <= held.count() <= 8
 
 
-def test_collided_digests_fall_back_to_bytes(spark):
-    d = frame(spark, ROWS)
-    digests = dedup_exact.DigestIndex.entries(d).select("digest").distinct()
-    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in dedup_exact.by_bytes(d, digests).collect())
-    assert got == sorted(x[:3] for x in brute(ROWS))
+def test_collided_digests_are_told_apart_by_their_bytes(spark):
+    rows = ROWS + REPEATED
+    index = dedup_exact.DigestIndex(spark, digest=lambda n: F.char_length(n).cast("string"))
+    check(dedup_exact.exact_duplicates(frame(spark, rows), index), rows)
 
 
 def test_one_row_of_each_group_stays(spark):
-    d = frame(spark, ROWS)
-    d = d.selectExpr("*", "1 as _id", "'x' as _sha", "2 as _digest")
-    kept = dedup_exact.drop_duplicates(d)
-    assert kept.columns == d.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({x[1] for x in brute(ROWS)})
+    for rows in (ROWS, REPEATED, ROWS + REPEATED, []):
+        d = frame(spark, rows).selectExpr("*", "1 as _id", "'x' as _key", "2 as _best", "map(1, 2) as m")
+        kept = dedup_exact.drop_duplicates(d)
+        assert kept.columns == d.columns
+        got = [(r.doc_id, r.text) for r in kept.collect()]
+        assert sorted(norm(t) for _, t in got) == sorted({norm(t) for _, t in rows})
+        best = {x[3]: x[1] for x in brute(rows)}
+        for i, t in got:
+            sha = hashlib.sha256(norm(t).encode()).hexdigest()
+            assert str(i) == best[sha] and len(t or "") == max(len(u or "") for _, u in rows if norm(u) == norm(t))
