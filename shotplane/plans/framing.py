@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +13,6 @@ from shotplane.plans import adapters
 from shotplane.plans.adapters import duck
 
 CFG = ReframeConfig()
-#: The coarser search, and the tiles, that the SQL of crop_candidates, crop_steps and tile_spans is written for. The
-#: queries named *_full take the settings as they are.
-COARSE, COARSE_TILES = replace(CFG, step=0.05, sizes=4), 8
 COLS, ROWS = 16, 12
 #: A scene's first face, and the second of every third scene.
 FX, FY = "0.3e0 + px * 0.5e0", "0.2e0 + py * 0.5e0"
@@ -42,7 +37,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_subject(d: DataFrame) -> DataFrame:
-    others = F.transform(F.slice("faces", 2, 100), lambda f: F.array(f["bbox"][0], f["bbox"][1], f["bbox"][0] + f["bbox"][2], f["bbox"][1] + f["bbox"][3]))
+    others = F.transform(F.slice("faces", 2, F.greatest(F.size("faces"), F.lit(1))), lambda f: F.array(f["bbox"][0], f["bbox"][1], f["bbox"][0] + f["bbox"][2], f["bbox"][1] + f["bbox"][3]))
     return d.withColumn("subj", crops.subject(F.col("faces"), F.col("width"), F.col("height"), CFG)).withColumn("others", others).drop("faces")
 
 
@@ -71,7 +66,7 @@ def crop_terms(spark, sf_dir):
 def crop_notes(spark, sf_dir):
     d = scored(spark, sf_dir)
     d = d.withColumns({t: F.round(F.col(t) + 1e-9, 6) for t in TERMS})
-    return d.select("scene", "crop", F.array_join(crops.notes(F.col("subj.yaw"), F.col("subj").isNotNull(), CFG), ",").alias("notes"))
+    return d.select("scene", "crop", F.array_join(crops.notes(F.col("yaw"), F.col("yaw").isNotNull(), CFG), ",").alias("notes"))
 
 
 def crop_gates(spark, sf_dir):
@@ -89,23 +84,11 @@ def steps(spark: SparkSession, sf_dir: str, cfg: ReframeConfig) -> DataFrame:
 
 
 def crop_steps(spark, sf_dir):
-    return steps(spark, sf_dir, COARSE)
-
-
-def crop_steps_full(spark, sf_dir):
     return steps(spark, sf_dir, CFG)
 
 
 def crop_candidates(spark, sf_dir):
-    return candidate_sums(spark, sf_dir, COARSE)
-
-
-def crop_candidates_full(spark, sf_dir):
-    return candidate_sums(spark, sf_dir, CFG)
-
-
-def candidate_sums(spark: SparkSession, sf_dir: str, cfg: ReframeConfig) -> DataFrame:
-    d = crops.candidates(scenes(spark, sf_dir).select("scene", "width", "height"), cfg)
+    d = crops.candidates(scenes(spark, sf_dir).select("scene", "width", "height"), CFG)
     return d.groupBy("scene", "rn", "rd", "k").agg(F.count("*").alias("n"), F.round(F.sum("x") + 1e-7, 4).alias("sx"), F.round(F.sum("y") + 1e-7, 4).alias("sy"), F.round(F.max("w"), 6).alias("w"), F.round(F.max("h"), 6).alias("h"))
 
 
@@ -148,7 +131,7 @@ def crop_pixels(spark, sf_dir):
 def crop_warnings(spark, sf_dir):
     boxes = F.array(*(F.struct(*(F.lit(float(v) if k else v).alias(n) for k, (n, v) in enumerate(zip(("crop", "x", "y", "w", "h"), t)))) for t in TRIED))
     d = scenes(spark, sf_dir).select("*", F.explode(boxes).alias("b")).select("scene", "width", "height", "faces", "b.*")
-    return d.select("scene", "crop", F.array_join(crops.warnings(F.col("faces")[0], F.slice("faces", 2, 100), F.col("width"), F.col("height"), CFG), ",").alias("warnings"))
+    return d.select("scene", "crop", F.array_join(crops.warnings(F.col("faces")[0], F.slice("faces", 2, F.greatest(F.size("faces"), F.lit(1))), F.col("width"), F.col("height"), CFG), ",").alias("warnings"))
 
 
 def crop_dedup_iou(spark, sf_dir):
@@ -253,10 +236,6 @@ def tile_percentile(spark, sf_dir):
 
 
 def tile_spans(spark, sf_dir):
-    return image.tile_grid(scenes(spark, sf_dir).select("scene", "width", "height"), COARSE_TILES)
-
-
-def tile_spans_full(spark, sf_dir):
     return image.tile_grid(scenes(spark, sf_dir).select("scene", "width", "height"))
 
 
@@ -289,9 +268,9 @@ def terms_sql(out: str) -> str:
 ROUNDED = ", ".join(f"round({t} + 1e-9, 6) as {t}" for t in TERMS)
 CAND = f"""with s0 as ({duck('scenes')}), q as (select scene, width, height, rn, rd, rn / cast(rd as double) as v, width / cast(height as double) as fr from s0 cross join (values (4, 5), (1, 1), (3, 2), (16, 9), (2, 3)) r(rn, rd)),
 f as (select *, case when v >= fr then 1 else v / fr end as fw, case when v >= fr then fr / v else 1 end as fh from q), l as (select *, greatest(0.35e0, 2560 / round(greatest(fw * width, fh * height))) as lo from f), k0 as (select *, greatest(0.9e0, lo) as hi from l where lo <= 1),
-k as (select *, lo + (hi - lo) * k / 3e0 as s0 from k0 cross join (select unnest(range(0, 4)) as k) where hi > lo or k = 0), z as (select *, case when k = 0 and lo > 0.35e0 then least(s0 * 1.0005e0, 1) else s0 end as s from k), d as (select *, fw * s as w, fh * s as h from z),
-i as (select unnest(range(0, 21)) as i), xs as (select d.*, case when i <= greatest(floor((1 - w) / 0.05e0), 0) then i * 0.05e0 else 1 - w end as x from d join i on i <= greatest(floor((1 - w) / 0.05e0), 0) or (i = greatest(floor((1 - w) / 0.05e0), 0) + 1 and 1 - w - (i - 1) * 0.05e0 > 1e-4)),
-ys as (select xs.*, case when i <= greatest(floor((1 - h) / 0.05e0), 0) then i * 0.05e0 else 1 - h end as y from xs join i on i <= greatest(floor((1 - h) / 0.05e0), 0) or (i = greatest(floor((1 - h) / 0.05e0), 0) + 1 and 1 - h - (i - 1) * 0.05e0 > 1e-4))
+k as (select *, lo + (hi - lo) * k / 11e0 as s0 from k0 cross join (select unnest(range(0, 12)) as k) where hi > lo or k = 0), z as (select *, case when k = 0 and lo > 0.35e0 then least(s0 * 1.0005e0, 1) else s0 end as s from k), d as (select *, fw * s as w, fh * s as h from z),
+i as (select unnest(range(0, 68)) as i), xs as (select d.*, case when i <= greatest(floor((1 - w) / 0.015e0), 0) then i * 0.015e0 else 1 - w end as x from d join i on i <= greatest(floor((1 - w) / 0.015e0), 0) or (i = greatest(floor((1 - w) / 0.015e0), 0) + 1 and 1 - w - (i - 1) * 0.015e0 > 1e-4)),
+ys as (select xs.*, case when i <= greatest(floor((1 - h) / 0.015e0), 0) then i * 0.015e0 else 1 - h end as y from xs join i on i <= greatest(floor((1 - h) / 0.015e0), 0) or (i = greatest(floor((1 - h) / 0.015e0), 0) + 1 and 1 - h - (i - 1) * 0.015e0 > 1e-4))
 select scene, rn, rd, k, count(*) as n, round(sum(x) + 1e-7, 4) as sx, round(sum(y) + 1e-7, 4) as sy, round(max(w), 6) as w, round(max(h), 6) as h from ys group by 1, 2, 3, 4"""
 IOU = "greatest(least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x), 0) * greatest(least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y), 0)"
 CELLS = f"g as (select image, r, c, q from ({duck('cells')})), v as (select i.image, r.row, c.col, coalesce(round(g.q * 5, 3), 0) + (i.image * 13 + r.row * c.col) % 17 as v from (select unnest(range(0, 20)) as image) i cross join (select unnest(range(0, 12)) as row) r cross join (select unnest(range(0, 15)) as col) c left join g on g.image = i.image and g.r = r.row and g.c = c.col)"
@@ -299,11 +278,8 @@ NEAR = "n as (select *, lag(v) over a as l, lead(v) over a as r, lag(v) over b a
 RATIO = "with s as ({s}), r as (select scene, {w} as w, {h} as h, {w} / cast({h} as double) as v from s), t as (select scene, v, d, least(greatest(round(v * d), 1), 255) as n, abs(least(greatest(round(v * d), 1), 255) / d / v - 1) as e from r cross join (select unnest(range(1, 33)) as d)), k as (select *, row_number() over (partition by scene order by case when e < 0.005e0 then 0 else 1 end, case when e < 0.005e0 then d else e end, d) as k from t) select scene, cast(n as int) as n, d from k where k = 1"
 
 ENTRIES = {
-    "crop_steps": (crop_steps, f"with s as ({duck('scenes')}), l as (select scene, px + 0.35e0 as len from s), i as (select unnest(range(0, 21)) as i) select scene, i, round(case when i <= floor((1 - len) / 0.05e0) then i * 0.05e0 else 1 - len end, 6) as at from l join i on i <= floor((1 - len) / 0.05e0) or (i = floor((1 - len) / 0.05e0) + 1 and 1 - len - (i - 1) * 0.05e0 > 1e-4)"),
+    "crop_steps": (crop_steps, f"with s as ({duck('scenes')}), l as (select scene, px + 0.35e0 as len from s), i as (select unnest(range(0, 68)) as i) select scene, i, round(case when i <= floor((1 - len) / 0.015e0) then i * 0.015e0 else 1 - len end, 6) as at from l join i on i <= floor((1 - len) / 0.015e0) or (i = floor((1 - len) / 0.015e0) + 1 and 1 - len - (i - 1) * 0.015e0 > 1e-4)"),
     "crop_candidates": (crop_candidates, CAND),
-    "crop_steps_full": (crop_steps_full, None),
-    "crop_candidates_full": (crop_candidates_full, None),
-    "tile_spans_full": (tile_spans_full, None),
     "grid_sat": (grid_sat, f"with {S}, a as (select *, sum(sharp) over (partition by scene, row order by col) as run from t) select scene, row, col, round(sum(run) over (partition by scene, col order by row), 6) as sat from a"),
     "rect_sums": (rect_sums, f"with {S}, {BOXES_SQL}, r as (select scene, crop, x as x0, y as y0, x + w as x1, y + h as y1 from s0 cross join b) select r.scene, r.crop, round(sum(t.sharp * {OVER}), 5) as total, round(sum(t.luma * {OVER}) / max({AREA}), 6) as mean from r join t on r.scene = t.scene group by 1, 2"),
     "crop_terms": (crop_terms, terms_sql("select scene, crop, " + ", ".join(f"round({t} + 1e-9, 5) as {t}" for t in TERMS) + " from z")),
@@ -327,7 +303,14 @@ ENTRIES = {
     "detection_scores": (detection_scores, f"with b as ({duck('boxes')}) select image, id, round(sqrt(least(greatest(score * 1.3e0 - 0.1e0, 0), 1) * least(greatest(w / 250, 0), 1)), 6) as conf from b"),
     "largest_first": (largest_first, f"with b as ({duck('boxes')}) select image, string_agg(cast(id as string), ',' order by w * h desc, id) as ids from b group by 1"),
     "iou_pairs": (iou_pairs, f"with b as ({duck('boxes')}), p as (select a.image, a.id as a_id, b.id as b_id, {IOU.format(a='a', b='b')} as i, a.w * a.h + b.w * b.h as s from b a join b on a.image = b.image and a.id < b.id) select image, a_id, b_id, round(i / (s - i), 6) as iou from p where i > 0"),
-    "nms_keep": (nms_keep, None),
+    "nms_keep": (
+        nms_keep,
+        f"""with recursive b as (select *, row_number() over (partition by image order by score desc, id) as k from ({duck('boxes')})),
+    r as (select distinct image, cast(0 as bigint) as k, cast([] as struct(id bigint, x double, y double, w double, h double)[]) as kept from b
+      union all select r.image, b.k, case when len(list_filter(r.kept, lambda q: not ({IOU.format(a='q', b='b')} / (q.w * q.h + b.w * b.h - {IOU.format(a='q', b='b')}) < 0.3e0))) > 0 then r.kept else list_append(r.kept, {{'id': b.id, 'x': b.x, 'y': b.y, 'w': cast(b.w as double), 'h': cast(b.h as double)}}) end from r join b on r.image = b.image and b.k = r.k + 1),
+    z as (select image, kept, row_number() over (partition by image order by k desc) as last from r)
+    select image, unnest(list_transform(kept, lambda q: q.id)) as id from z where last = 1""",
+    ),
     "backfill_match": (backfill_match, f"with b as ({duck('boxes')}), f as (select image, id * 10 as id, x + id * 9 as x, y, w, h from b where id <> 2), p as (select b.image, b.id, f.id as fid, {IOU.format(a='b', b='f')} as i, b.w * b.h + f.w * f.h as s from b join f on b.image = f.image), q as (select *, row_number() over (partition by image, id order by i / (s - i) desc, fid desc) as k from p where i / (s - i) > 0.5e0) select b.image, b.id, q.fid as fresh_id, round(q.i / (q.s - q.i), 6) as iou from b left join q on b.image = q.image and b.id = q.id and q.k = 1"),
     "similarity_fit": (similarity_fit, "select s_suppkey, 2.0 as a, 0.5 as b, 10.0 as tx, -1e0 * (s_suppkey % 3) as ty from supplier where s_suppkey % 175 <> 0"),
     "landmark_regions": (landmark_regions, f"with b as ({duck('boxes')}) select image, id, round(greatest(w, h) * 1.5e0, 5) as size, round(atan2(0.02e0 * h, 0.6e0 * w), 6) as angle, round(x + w / 2, 5) as ux, round(y + h / 2, 5) as uy, round((0.05e0 * w * 0.6e0 * w + 0.19e0 * h * 0.02e0 * h) / greatest(0.36e0 * w * w + 0.0004e0 * h * h, 1), 6) as yaw, round(w / 1200, 6) as fw, round(greatest(0.2e0 * w, 1), 5) as eye, x < -0.03e0 * w or y < -0.03e0 * w or x + w > 1000 + 0.03e0 * w or y + h > 800 + 0.03e0 * w as cut, round((0.4e0 * w + 1.8e0 * greatest(0.2e0 * w, 1)) * 1.3e0, 5) as strip from b"),
@@ -335,5 +318,5 @@ ENTRIES = {
     "grey_levels": (grey_levels, f"with {CELLS} select image, round(avg(v), 5) as luma, round(count(*) filter (where v >= 250) / cast(count(*) as double), 6) as clip, round(stddev_pop(v), 5) as spread from v group by 1"),
     "edge_gradient": (edge_gradient, f"with {CELLS}, {NEAR}, z as (select image, sqrt(power((coalesce(r, v) - coalesce(l, v)) / 2, 2) + power((coalesce(d, v) - coalesce(u, v)) / 2, 2)) as g from n) select image, round(sum(g), 4) as total, round(max(g), 5) as most from z group by 1"),
     "tile_percentile": (tile_percentile, f"with {S}, o as (select scene, sharp, row_number() over (partition by scene order by sharp) - 1 as i, count(*) over (partition by scene) as n from t where luma * 10 > 6), p as (select scene, sharp from o where i = floor(n * 0.9e0)) select s0.scene, round(coalesce(p.sharp, 0), 6) as frame_sharp, round(coalesce(p.sharp, 0), 6) as by_array from s0 left join p on s0.scene = p.scene"),
-    "tile_spans": (tile_spans, f"with s as ({duck('scenes')}), n as (select *, greatest(round(width * 8 / cast(greatest(width, height) as double)), 1) as cols, greatest(round(height * 8 / cast(greatest(width, height) as double)), 1) as rows from s), i as (select unnest(range(0, 8)) as k) select scene, r.k as row, c.k as col, cast(floor(c.k * width / cols) as int) as x0, cast(floor(r.k * height / rows) as int) as y0, cast(floor((c.k + 1) * width / cols) as int) as x1, cast(floor((r.k + 1) * height / rows) as int) as y1 from n join i r on r.k < rows join i c on c.k < cols"),
+    "tile_spans": (tile_spans, f"with s as ({duck('scenes')}), n as (select *, greatest(round(width * 64 / cast(greatest(width, height) as double)), 1) as cols, greatest(round(height * 64 / cast(greatest(width, height) as double)), 1) as rows from s), i as (select unnest(range(0, 64)) as k) select scene, r.k as row, c.k as col, cast(floor(c.k * width / cols) as int) as x0, cast(floor(r.k * height / rows) as int) as y0, cast(floor((c.k + 1) * width / cols) as int) as x1, cast(floor((r.k + 1) * height / rows) as int) as y1 from n join i r on r.k < rows join i c on c.k < cols"),
 }
