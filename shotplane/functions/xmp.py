@@ -6,6 +6,7 @@ Columns read it; edits, which must keep every other byte, run in a pandas functi
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,156 +26,170 @@ NAMESPACES = {
 OPEN, CLOSE, RATING = "<rdf:Description", "</rdf:Description>", "xmp:Rating"
 #: The label of the colour green.
 GREEN = "2"
-#: A start tag to its end, quoted values skipped.
-TAG = re.compile(OPEN + r"""(?:"[^"]*"|'[^']*'|[^"'>])*>""")
+#: What a sidecar is cut into: the description's start tag (quoted values may hold anything), its lists, its end.
+START = re.compile(OPEN + r"""(?P<inside>(?:"[^"]*"|'[^']*'|[^"'>])*?)(?P<alone>/?)>""")
+ITEM = re.compile(r"<rdf:li>(.*?)</rdf:li>", re.S)
+#: A file that the editor has not seen (fixed text of the format).
+BLANK = """<?xml version="1.0" encoding="UTF-8"?>
+<x:xmpmeta xmlns:x="adobe:ns:meta/" x:xmptk="{toolkit}">
+ <rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">
+  <rdf:Description rdf:about=""
+    xmlns:xmpMM="http://ns.adobe.com/xap/1.0/mm/"{spaces}
+   xmpMM:DerivedFrom="{image}">
+  </rdf:Description>
+ </rdf:RDF>
+</x:xmpmeta>
+"""
 
 
 class SidecarError(ValueError):
     """A sidecar whose layout is not known; it is left alone."""
 
 
+def need(fine: object, why: str) -> None:
+    if not fine:
+        raise SidecarError(why)
+
+
 def escape(s: str) -> str:
     return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
 
 
-class Sidecar:
-    """The text of a sidecar with one description. Only its rating and whole lists change."""
+def blank(image: str, toolkit: str = "cull") -> str:
+    return BLANK.format(toolkit=toolkit, image=escape(image), spaces="".join(f'\n    xmlns:{p}="{u}"' for p, u in NAMESPACES.items()))
+
 
-    def __init__(self, text: str):
-        if text.count(OPEN) != 1:
-            raise SidecarError("expected one description")
-        self.text = text
-        tag = self._tag()
-        if tag.group().endswith("/>"):
-            self._put(tag.end() - 2, tag.end(), f">\n  {CLOSE}")
-        if self.text.count(CLOSE) != 1:
-            raise SidecarError("expected one end of the description")
+@dataclass(frozen=True)
+class Layout:
+    """Where the parts of a sidecar stand: spans of its text, found in one reading. Nothing is changed here."""
+
+    tag: tuple[int, int]  # what stands in the start tag, after its name
+    alone: bool  # the tag ends the description, too
+    rating: tuple[int, int] | None
+    lists: dict[str, tuple[int, int]]  # from the start of the line that opens a list to its end
+    close: int  # the end tag; the start tag's end where that is alone
 
     @classmethod
-    def fresh(cls, image: str, toolkit: str = "cull") -> "Sidecar":
-        """A sidecar for a file that the editor has not seen."""
-        spaces = "".join(f'\n    xmlns:{p}="{u}"' for p, u in NAMESPACES.items())
-        lines = [
-            '<?xml version="1.0" encoding="UTF-8"?>',
-            f'<x:xmpmeta xmlns:x="adobe:ns:meta/" x:xmptk="{toolkit}">',
-            ' <rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">',
-            f'  {OPEN} rdf:about=""',
-            f'    xmlns:xmpMM="http://ns.adobe.com/xap/1.0/mm/"{spaces}',
-            f'   xmpMM:DerivedFrom="{escape(image)}">',
-            f"  {CLOSE}",
-            " </rdf:RDF>",
-            "</x:xmpmeta>",
-        ]
-        return cls("\n".join(lines) + "\n")
-
-    def _put(self, a: int, b: int, text: str) -> None:
-        self.text = self.text[:a] + text + self.text[b:]
-
-    def _tag(self) -> re.Match:
-        tag = TAG.search(self.text)
-        if not tag:
-            raise SidecarError("unterminated description")
-        return tag
-
-    def _space(self, prefix: str) -> None:
-        if f"xmlns:{prefix}=" not in self.text:
-            at = self.text.index(OPEN) + len(OPEN)
-            self._put(at, at, f'\n    xmlns:{prefix}="{NAMESPACES[prefix]}"')
-
-    def _rating_at(self) -> tuple[int, int] | None:
-        tag = self._tag()
-        found = re.search(rf"\s{RATING}=(\"([^\"]*)\")?", tag.group())
+    def of(cls, text: str) -> Layout:
+        tags = [m for m in re.finditer(OPEN, text)]
+        need(len(tags) == 1, "there must be one description, and only one")
+        start = START.match(text, tags[0].start())
+        need(start, "the description's tag has no end")
+        alone = bool(start["alone"])
+        ends = [m.start() for m in re.finditer(CLOSE, text)]
+        need(len(ends) == (0 if alone else 1), "the description must be closed once")
+        close = start.end() if alone else ends[0]
+        value = re.search(rf"\s{RATING}=(?:\"([^\"]*)\"|(.))", start["inside"])
+        need(value or f"<{RATING}>" not in text, "a rating that is an element cannot be edited")
+        need(not value or value[1] is not None, "a rating must stand in double quotes")
+        shift = start.start("inside")
+        rating = (shift + value.start(1), shift + value.end(1)) if value else None
+        return cls(start.span("inside"), alone, rating, {name: span for name in CONTAINER if (span := cls._list(text, name, start.end(), close))}, close)
+
+    @staticmethod
+    def _list(text: str, name: str, lo: int, hi: int) -> tuple[int, int] | None:
+        found = re.compile(rf"<{name}(/?)>").search(text, lo, hi)
         if not found:
-            if f"<{RATING}>" in self.text:
-                raise SidecarError("a rating as an element is not supported")
-            return None
-        if found.group(1) is None:
-            raise SidecarError("a rating without double quotes is not supported")
-        return tag.start() + found.start(2), tag.start() + found.end(2)
-
-    @property
-    def rating(self) -> int | None:
-        at = self._rating_at()
-        if at is None:
             return None
-        try:
-            return int(self.text[slice(*at)].strip())
-        except ValueError as e:
-            raise SidecarError("bad rating") from e
-
-    @rating.setter
-    def rating(self, r: int) -> None:
-        at = self._rating_at()
-        if at:
-            self._put(*at, str(r))
-        else:
-            self._space("xmp")
-            end = self._tag().end() - 1
-            self._put(end, end, f'\n   {RATING}="{r}"')
+        end = found.end() if found[1] else text.find(f"</{name}>", found.end(), hi) + len(f"</{name}>")
+        need(end > found.start(), f"{name} has no end")
+        line = text.rfind("\n", 0, found.start()) + 1
+        need(not text[line : found.start()].strip(), f"{name} shares its first line")
+        return line, end
 
-    def _element(self, name: str) -> tuple[int, int] | None:
-        start, end = self._tag().end() - 1, self.text.index(CLOSE)
-        found = re.compile(rf"<{name}>(?:(?s:.*?)</{name}>)?|<{name}/>").search(self.text, start, end)
-        if not found:
-            return None
-        if found.group() == f"<{name}>":
-            raise SidecarError(f"unterminated {name}")
-        line = self.text.rfind("\n", 0, found.start()) + 1
-        if self.text[line : found.start()].strip():
-            raise SidecarError(f"{name} does not start its own line")
-        return line, found.end()
-
-    def items(self, name: str) -> list[str]:
-        """A list's raw items; none if it is missing."""
-        at = self._element(name)
-        body = self.text[slice(*at)] if at else ""
-        if re.search("<rdf:li[^>]", body):
-            raise SidecarError(f"{name} has items with attributes")
-        if body.count("<rdf:li>") != len(found := re.findall("(?s)<rdf:li>(.*?)</rdf:li>", body)):
-            raise SidecarError(f"unterminated item in {name}")
-        return found
-
-    def set_items(self, name: str, items: list[str]) -> None:
-        """Replaces a list; without items it goes."""
-        at, box = self._element(name), CONTAINER[name]
-        block = "\n".join([f"   <{name}>", f"    <{box}>", *(f"     <rdf:li>{i}</rdf:li>" for i in items), f"    </{box}>", f"   </{name}>"])
-        if at:
-            self._put(*((at[0], at[1], block) if items else (max(at[0] - 1, 0), at[1], "")))
-        elif items:
-            self._space(name.split(":")[0])
-            line = self.text.rfind("\n", 0, self.text.index(CLOSE))
-            if line < 0:
-                raise SidecarError("the description's end shares a line")
-            self._put(line, line, "\n" + block)
 
+@dataclass(frozen=True)
+class State:
+    """What a change reads and writes of a sidecar: its rating and its lists."""
 
-def _levels(tags: list[str]) -> set[str]:
+    rating: int | None
+    lists: dict[str, tuple[str, ...]]
+
+    @classmethod
+    def of(cls, text: str, at: Layout) -> State:
+        lists = {}
+        for name in CONTAINER:
+            body = text[slice(*at.lists[name])] if name in at.lists else ""
+            lists[name] = tuple(ITEM.findall(body))
+            need(len(lists[name]) == body.count("<rdf:li"), f"{name} has items that cannot be kept")
+        number = text[slice(*at.rating)].strip() if at.rating else None
+        need(number is None or re.fullmatch(r"[+-]?\d+", number), "the rating is no number")
+        return cls(None if number is None else int(number), lists)
+
+
+def rewritten(text: str, at: Layout, old: State, new: State) -> str:
+    """The text with what differs between two states put in its place, all at once; every other byte stays."""
+    puts: list[tuple[int, int, str]] = []
+    spaces, blocks, attributes = [], [], ""
+    if new.rating != old.rating:
+        if at.rating:
+            puts.append((*at.rating, str(new.rating)))
+        else:
+            attributes = f'\n   {RATING}="{new.rating}"'
+            spaces.append("xmp")
+    for name, items in new.lists.items():
+        if items == old.lists[name]:
+            continue
+        box = CONTAINER[name]
+        lines = [f"   <{name}>", f"    <{box}>", *(f"     <rdf:li>{i}</rdf:li>" for i in items), f"    </{box}>", f"   </{name}>"]
+        if name in at.lists:
+            lo, hi = at.lists[name]
+            puts.append((lo, hi, "\n".join(lines)) if items else (max(lo - 1, 0), hi, ""))
+        elif items:
+            spaces.append(name.partition(":")[0])
+            blocks.append("\n" + "\n".join(lines))
+    missing = [p for p in dict.fromkeys(spaces) if f"xmlns:{p}=" not in text]
+    lo, hi = at.tag
+    puts.append((lo, lo, "".join(f'\n    xmlns:{p}="{NAMESPACES[p]}"' for p in missing)))
+    if at.alone and (blocks or attributes or puts[:-1]):
+        puts.append((hi, hi + 2, f"{attributes}>{''.join(blocks)}\n  {CLOSE}"))
+    else:
+        puts.append((hi, hi, attributes))
+        if blocks:
+            line = text.rfind("\n", 0, at.close)
+            need(line >= hi, "the description's end shares a line")
+            puts.append((line, line, "".join(blocks)))
+    out, done = [], 0
+    for a, b, piece in sorted(puts, key=lambda p: p[:2]):
+        out += [text[done:a], piece]
+        done = b
+    return "".join([*out, text[done:]])
+
+
+def _levels(tags) -> set[str]:
     return {part for t in tags for part in t.split("|")}
 
 
-def apply_change(s: Sidecar, rating: str, green: str, add: list[str], remove: list[str], default_rating: int) -> tuple[int, bool]:
-    """Applies one change; returns the rating and the green label that were there before."""
-    labels, now = s.items(LABELS), s.rating
-    before = (default_rating if now is None else now, GREEN in labels)
+def changed(now: State, rating: str, green: str, add: list[str], remove: list[str], default_rating: int) -> State:
+    """The state after one change. A restore acts only where the rating is the one that was set."""
     op, *numbers = rating.split(":")
+    value, have = now.rating, default_rating if now.rating is None else now.rating
     if op == "set":
-        s.rating = int(numbers[0])
-    elif op == "restore" and before[0] == int(numbers[0]):
-        s.rating = int(numbers[1])
-    want = {"set": True, "restore:0": False}.get(green)
-    if want is not None and want != before[1]:
-        s.set_items(LABELS, sorted([*labels, GREEN]) if want else [x for x in labels if x != GREEN])
+        value = int(numbers[0])
+    elif op == "restore" and have == int(numbers[0]):
+        value = int(numbers[1])
+    lists = dict(now.lists)
+    lit = GREEN in lists[LABELS]
+    if green == "set" and not lit:
+        lists[LABELS] = tuple(sorted((*lists[LABELS], GREEN)))
+    elif green == "restore:0" and lit:
+        lists[LABELS] = tuple(x for x in lists[LABELS] if x != GREEN)
     if add or remove:
-        if bad := next((t for t in [*add, *remove] if escape(t) != t), None):
-            raise SidecarError(f"tag {bad!r} needs escaping")
-        left = [t for t in s.items(HIERARCHY) if t not in remove]
-        left = sorted([*left, *(t for t in add if t not in left)])
-        kept, gone = _levels(left), _levels(remove)
-        subject = [x for x in s.items(SUBJECT) if x in kept or x not in gone]
-        subject = sorted([*subject, *sorted(_levels(add) - set(subject))])
-        s.set_items(HIERARCHY, left)
-        s.set_items(SUBJECT, subject)
-    return before
+        for t in (*add, *remove):
+            need(escape(t) == t, f"the tag {t!r} would need escaping")
+        tags = {*lists[HIERARCHY]} - {*remove} | {*add}
+        gone = _levels(remove) - _levels(tags)
+        lists[HIERARCHY] = tuple(sorted(tags))
+        lists[SUBJECT] = tuple(sorted({*lists[SUBJECT]} - gone | _levels(add)))
+    return State(value, lists)
+
+
+def edit_text(text: str, rating: str, green: str, add: list[str], remove: list[str], default_rating: int = 1) -> tuple[str, int, bool]:
+    """A sidecar's text after one change, and the rating and the green label that were there before."""
+    at = Layout.of(text)
+    now = State.of(text, at)
+    new = changed(now, rating, green, add, remove, default_rating)
+    return rewritten(text, at, now, new), default_rating if now.rating is None else now.rating, GREEN in now.lists[LABELS]
 
 
 EDITED = "text string, before_rating int, before_green boolean, error string"
@@ -189,9 +204,7 @@ def edit_sidecars(default_rating: int = 1) -> object:
         out = []
         for f, t, r, g, a, d in zip(file, text, rating, green, add, remove):
             try:
-                s = Sidecar(t) if t is not None else Sidecar.fresh(f)
-                before = apply_change(s, r, g, list(a), list(d), default_rating)
-                out.append((s.text, *before, None))
+                out.append((*edit_text(blank(f) if t is None else t, r, g, list(a), list(d), default_rating), None))
             except SidecarError as e:
                 out.append((t, None, None, str(e)))
         return pd.DataFrame(out, columns=["text", "before_rating", "before_green", "error"])
