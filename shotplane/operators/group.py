@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from shotplane.functions.vectors import sig_dist
 
 #: Capture order within a folder.
 ORDER = ("time", "file")
+#: Seconds of a stretch, by which a folder's frames are dealt.
+STRETCH = 86400.0
 
 
 def in_order(folder: str = "folder") -> Window:
@@ -48,34 +52,39 @@ def begins(now: Column, before: Column, shots: DataFrame, cfg: CullConfig = Cull
     return F.coalesce(new, F.lit(False)).cast("int")
 
 
-def group(shots: DataFrame, cfg: CullConfig = CullConfig(), bucket: float | None = None) -> DataFrame:
-    """Adds group_id, from 0 in each folder's capture order.
+def numbered(shots: DataFrame, now: Column, begins: Callable[[Column, Column], Column], stretch: float = STRETCH) -> DataFrame:
+    """Adds group_id, from 0 in each folder's capture order: the number of frames up to a frame that begin a group, less one.
 
-    One exchange by folder serves the lags and the sum. Where a folder may hold a large share of all frames, `bucket`
-    (seconds) cuts it into stretches of time that are grouped apart: a stretch's first frame is compared with the last of
-    the stretch before, and its numbers follow those of the stretches before. Only one row a stretch is ordered by folder.
+    begins(now, before) tells, as 0 or 1, whether a frame begins one, from `now` (a struct that starts with time and file) of
+    it and of the frame before; without one it is 1. No folder is ordered in one task: frames are dealt by folder and
+    stretch of time, a day unless told otherwise, and ordered there. One row a stretch, with its first and last frame, is
+    ordered by folder; it tells whether the first begins a group, and how many began before. Frames without a time come
+    first.
     """
-    now = compared(shots, cfg)
-    if bucket is None:
-        d = shots.withColumn("_new", begins(now, F.lag(now).over(in_order()), shots, cfg))
-        return d.withColumn("group_id", (F.sum("_new").over(in_order()) - 1).cast("int")).drop("_new")
-    d = shots.withColumn("_at", F.floor(F.col("time") / bucket))
-    key, w = ["folder", "_at"], Window.partitionBy("folder", "_at").orderBy(*ORDER)
-    along = Window.partitionBy("folder").orderBy("_at")
-    last = d.groupBy(*key).agg(F.max(now).alias("_last")).select(*key, F.lag("_last").over(along).alias("_edge"))
-    d = d.join(last, key).withColumn("_new", begins(now, F.coalesce(F.lag(now).over(w), F.col("_edge")), shots, cfg))
-    d = d.withColumn("_local", F.sum("_new").over(w))
-    total = d.groupBy(*key).agg(F.sum("_new").alias("_n")).select(*key, (F.sum("_n").over(along) - F.col("_n")).alias("_before"))
-    return d.join(total, key).select(*shots.columns, (F.col("_before") + F.col("_local") - 1).cast("int").alias("group_id"))
-
-
-def regroup(grouped: DataFrame, splits: DataFrame, joins: DataFrame) -> DataFrame:
+    n, at, inner, run, head = "_now", "_at", "_inner", "_run", "_head"
+    key = ["folder", at]
+    here, along = Window.partitionBy(*key).orderBy(*ORDER), Window.partitionBy("folder").orderBy(at)
+    d = shots.withColumn(n, now).withColumn(at, F.coalesce(F.floor(F.col("time") / stretch), F.lit(-(1 << 62))))
+    before = F.lag(n).over(here)
+    d = d.withColumn(inner, F.when(before.isNull(), 0).otherwise(begins(F.col(n), before))).withColumn(run, F.sum(inner).over(here))
+    ends = d.groupBy(*key).agg(F.min(n).alias("_first"), F.max(n).alias("_last"), F.sum(inner).alias("_sum"))
+    ends = ends.withColumn("_edge", F.lag("_last").over(along)).withColumn(head, F.when(F.col("_edge").isNull(), 1).otherwise(begins(F.col("_first"), F.col("_edge"))))
+    ends = ends.select(F.col("folder").alias("_f"), F.col(at).alias("_a"), (F.sum(F.col("_sum") + F.col(head)).over(along) - F.col("_sum")).alias("_base"))
+    d = d.join(ends, F.col("folder").eqNullSafe(F.col("_f")) & (F.col(at) == F.col("_a")))
+    others = [c for c in shots.columns if c != "group_id"]
+    return d.select(*others, (F.col("_base") + F.col(run) - 1).cast("int").alias("group_id"))
+
+
+def group(shots: DataFrame, cfg: CullConfig = CullConfig(), stretch: float = STRETCH) -> DataFrame:
+    """Adds group_id, from 0 in each folder's capture order (see numbered and begins)."""
+    return numbered(shots, compared(shots, cfg), lambda now, before: begins(now, before, shots, cfg), stretch)
+
+
+def regroup(grouped: DataFrame, splits: DataFrame, joins: DataFrame, stretch: float = STRETCH) -> DataFrame:
     """Replaces group_id by that of a user's edits, tables of (folder, file): a frame starts a group if it is the first,
     or is not joined and started one before or is split off. A join beats a split."""
     mark = lambda d, name: d.select("folder", "file").distinct().withColumn(name, F.lit(True))
     d = grouped.join(mark(splits, "_split"), ["folder", "file"], "left").join(mark(joins, "_join"), ["folder", "file"], "left")
-    w = in_order()
-    before = F.lag("group_id").over(w)
-    auto = F.coalesce(F.col("group_id") != before, F.lit(True))
-    new = before.isNull() | (F.col("_join").isNull() & (auto | F.col("_split").isNotNull()))
-    return d.withColumn("_new", new.cast("int")).withColumn("group_id", (F.sum("_new").over(w) - 1).cast("int")).drop("_new", "_split", "_join")
+    now = F.struct("time", "file", "group_id", F.col("_split").isNotNull().alias("split"), F.col("_join").isNotNull().alias("join"))
+    new = lambda this, before: (~this["join"] & ((this["group_id"] != before["group_id"]) | this["split"])).cast("int")
+    return numbered(d, now, new, stretch).select(*[c for c in grouped.columns if c != "group_id"], "group_id")
