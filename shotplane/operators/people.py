@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotplane.config import PeopleConfig
-from shotplane.functions.vectors import centroids, dot
+from shotplane.functions.vectors import centroids
 from shotplane.operators.graph import blocks, components, cut
 
 FACE_KEY = ["folder", "file", "face_idx"]
-#: Faces of a block when all of a folder's are compared.
+#: Vectors of a block when many are compared with many.
 BLOCK = 1024
+#: Letters that names may differ in (fixed values): only A-Z have another case.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def split_faces(faces: DataFrame, cfg: PeopleConfig = PeopleConfig()) -> DataFrame:
@@ -34,10 +36,11 @@ def sheet(members: DataFrame, columns: int = 16) -> DataFrame:
     return members.withColumn("column", F.row_number().over(w)).where(F.col("column") <= columns)
 
 
-def similar_pairs(faces: DataFrame, threshold: float, within: str = "folder", block: int = BLOCK) -> DataFrame:
+def similar_pairs(faces: DataFrame, threshold: float, within: str = "folder", block: int = BLOCK, forest: bool = False) -> DataFrame:
     """Pairs of a folder's faces whose inner product is over the threshold, each once, with it.
 
-    Blocks of a folder's faces meet two by two and are multiplied as matrices; only pairs over the threshold are made.
+    Blocks of a folder's faces meet two by two and are multiplied as matrices; only pairs over the threshold are made. With
+    `forest` a group of blocks returns only as many of its pairs as connect what all of them connect, fewer than faces.
     """
     d = faces.select(F.col(within).alias("folder"), "file", "face_idx", F.col("embed").cast("array<double>").alias("embed"))
     many = d.groupBy("folder").agg(F.count("*").alias("_many"))
@@ -53,7 +56,7 @@ def similar_pairs(faces: DataFrame, threshold: float, within: str = "folder", bl
         own = pdf["block"].to_numpy()
         if pdf["cross"].iloc[0]:
             hit &= own[:, None] != own[None, :]
-        a, b = np.nonzero(hit)
+        a, b = spanning(hit) if forest else np.nonzero(hit)
         key = list(zip(pdf["file"], pdf["face_idx"]))
         swap = np.fromiter((key[x] > key[y] for x, y in zip(a, b)), bool, len(a))
         a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -64,43 +67,75 @@ def similar_pairs(faces: DataFrame, threshold: float, within: str = "folder", bl
     return rows.groupBy("g").applyInPandas(compare, schema).withColumnRenamed("folder", within)
 
 
-def average_linkage(vectors: np.ndarray, threshold: float) -> list[list[int]]:
-    """Merges, as long as any is over the threshold, the two clusters with the greatest mean similarity (the first two
-    among equals). Largest clusters first, then by their first member.
+def spanning(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a spanning forest of links (a matrix whose upper triangle counts): a search by breadth, a row at a time."""
+    links, left = hit | hit.T, np.ones(len(hit), bool)
+    a, b = [], []
+    for start in range(len(hit)):
+        queue = [start] if left[start] else []
+        left[start] = False
+        while queue:
+            i = queue.pop()
+            found = np.flatnonzero(links[i] & left)
+            left[found] = False
+            a += [i] * len(found)
+            b += found.tolist()
+            queue += found.tolist()
+    return np.array(a, int), np.array(b, int)
+
 
-    Sums of pairwise similarities are kept, so a merge costs one addition of rows.
+def average_linkage(vectors: np.ndarray, threshold: float) -> list[list[int]]:
+    """Clusters by average linkage: the two with the greatest mean similarity merge as long as that is over the threshold.
+    Largest clusters first, then by their first member.
+
+    A mean similarity of two clusters is the product of their mean vectors, so a vector a cluster is all that is held: n
+    times its length, and each step is one product with all of them. Steps follow the chain of nearest neighbours: two
+    that are each other's nearest merge, which for average linkage gives the same clusters as the greatest pair first
+    (equal similarities aside: the earlier cluster is preferred). A cluster whose nearest is not over the threshold stays
+    as it is, since merging others never brings them nearer to it than the nearer of them was.
     """
     n = len(vectors)
-    total = vectors.astype(np.float64) @ vectors.astype(np.float64).T if n else np.zeros((0, 0))
-    size, members = np.ones(n), [[i] for i in range(n)]
-    mean = np.where(np.triu(np.ones((n, n), bool), 1), total, -np.inf)
-    while n > 1:
-        i, j = divmod(int(mean.argmax()), n)
-        if not mean[i, j] > threshold:
-            break
-        members[i] += members[j]
-        members[j] = []
-        total[i] += total[j]
-        total[:, i] = total[i]
-        size[i] += size[j]
-        mean[j, :] = mean[:, j] = -np.inf
-        live = np.array([bool(m) for m in members])
-        live[i] = False
-        row = np.where(live, total[i] / (size[i] * size), -np.inf)
-        mean[i, i + 1 :], mean[:i, i] = row[i + 1 :], row[:i]
-    return sorted((sorted(m) for m in members if m), key=lambda m: (-len(m), m[0]))
+    if not n:
+        return []
+    mean, size = np.array(vectors, np.float64), np.ones(n)
+    live, members = np.ones(n, bool), [[i] for i in range(n)]
+    done: list[list[int]] = []
+    chain: list[int] = []
+    while chain or live.any():
+        a = chain[-1] if chain else int(live.argmax())
+        chain = chain or [a]
+        near = np.where(live, mean @ mean[a], -np.inf)
+        near[a] = -np.inf
+        b = int(near.argmax())
+        if len(chain) > 1 and near[chain[-2]] == near[b]:
+            b = chain[-2]
+        if not near[b] > threshold:
+            live[a] = False
+            done.append(sorted(members[a]))
+            chain.pop()
+        elif len(chain) > 1 and b == chain[-2]:
+            i, j = min(a, b), max(a, b)
+            mean[i] = (mean[i] * size[i] + mean[j] * size[j]) / (size[i] + size[j])
+            size[i] += size[j]
+            members[i] += members[j]
+            live[j] = False
+            del chain[-2:]
+        else:
+            chain.append(b)
+    return sorted(done, key=lambda m: (-len(m), m[0]))
 
 
 def cluster(core: DataFrame, threshold: float) -> DataFrame:
     """Average-linkage clusters of each folder's core faces (in capture order, `ord`): FACE_KEY and cluster, from 0.
 
     Clusters can only merge over a pair that is over the threshold itself. So a folder falls apart exactly into the
-    components of such pairs, and each component, not each folder, is clustered in one task; faces without any such pair
-    are clusters of their own.
+    components of such pairs, and each component, not each folder, is clustered in one task, which holds one vector a face
+    and takes time by the square of their number; faces without any such pair are clusters of their own. Only spanning
+    forests of the pairs are made.
     """
     node = lambda s="": F.xxhash64("folder", *(F.col(c + s) for c in ("file", "face_idx")))
     faces, _ = cut(core.select(*FACE_KEY, "ord", F.col("embed").cast("array<double>").alias("embed"), node().alias("node")), "faces")
-    linked = similar_pairs(faces, threshold).select(node("_a").alias("a"), node("_b").alias("b"))
+    linked = similar_pairs(faces, threshold, forest=True).select(node("_a").alias("a"), node("_b").alias("b"))
     parts = faces.join(components(linked), "node", "left")
     schema = T.StructType([*(core.schema[k] for k in FACE_KEY), core.schema["ord"], T.StructField("part", T.LongType()), T.StructField("local", T.IntegerType())])
 
@@ -120,25 +155,54 @@ def cluster(core: DataFrame, threshold: float) -> DataFrame:
     return labels.join(sizes.withColumn("cluster", place).select("folder", "part", "local", "cluster"), ["folder", "part", "local"]).select(*FACE_KEY, "cluster")
 
 
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, scope: list[str], block: int = BLOCK) -> DataFrame:
+    """For each row of left (keys, v) the row of right (place, v) of its scope with the greatest inner product over the
+    threshold, the largest place among equals: keys, place. Rows without any are left out.
+
+    Both sides fall into blocks, by their numbers in a scope; pairs of blocks are multiplied as matrices, so a task holds two
+    blocks whatever the sizes, and only each row's best leaves it.
+    """
+    own = scope or ["_all"]
+    if not scope:
+        left, right = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0))
+    blocks_of = lambda d, name: d.groupBy(*own).agg(F.ceil(F.count("*") / block).alias(name))
+    many = blocks_of(left, "_nl").join(blocks_of(right, "_nr"), own)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = left.join(many, own).select(*{*own, *keys}, "v", F.pmod(F.xxhash64(*keys), "_nl").alias("_l"), every("_nr").alias("_r"))
+    b = right.join(many, own).select(*(F.col(c).alias(f"_of_{c}") for c in own), F.col("place").alias("_place"), F.col("v").alias("w"), F.pmod(F.xxhash64("place"), "_nr").alias("_rr"), every("_nl").alias("_ll"))
+    schema = T.StructType([*(a.schema[k] for k in keys), T.StructField("near", T.DoubleType()), T.StructField("place", b.schema["_place"].dataType)])
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame(columns=[f.name for f in schema])
+        y = y.sort_values("_place", ascending=False, kind="stable")
+        near = np.stack(x["v"].to_numpy()).astype(float) @ np.stack(y["w"].to_numpy()).astype(float).T
+        top = near.argmax(1)
+        out = x[keys].assign(near=near.max(1), place=y["_place"].to_numpy()[top])
+        return out[out["near"] > threshold]
+
+    found = a.groupBy(*own, "_l", "_r").cogroup(b.groupBy(*(f"_of_{c}" for c in own), "_ll", "_rr")).applyInPandas(best, schema)
+    return found.groupBy(*keys).agg(F.max(F.struct("near", "place")).alias("b")).select(*keys, F.col("b.place").alias("place"))
+
+
 def recognise(vectors: DataFrame, library: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
     """Adds to vectors (keys, centroid) the named person whose samples are most similar on average, over the threshold
     (the last of the library among equals), or null: person_id, name.
 
-    A library is a user's own list of people and no more than `samples` vectors each; it is joined whole to every
-    vector, so its size, not that of the input, bounds the rows that a vector makes.
+    A mean of products with samples is the product with their mean, so a person is one vector.
     """
-    near = F.aggregate("samples", F.lit(0.0), lambda s, v: s + dot(v, F.col("centroid"))) / F.greatest(F.size("samples"), F.lit(1))
-    scored = vectors.select(*keys, "centroid").join(library.select(F.col("id").alias("person_id"), "name", "samples", "pos")).withColumn("near", near).where(F.col("near") > threshold)
-    best = scored.groupBy(*keys).agg(F.max(F.struct("near", "pos", "person_id", "name")).alias("b")).select(*keys, F.col("b.person_id").alias("person_id"), F.col("b.name").alias("name"))
-    return vectors.join(best, keys, "left")
+    some = library.where(F.size("samples") > 0)
+    means = some.select(F.col("pos").cast("long").alias("place"), F.transform(F.sequence(F.lit(0), F.size(F.col("samples")[0]) - 1), lambda i: F.aggregate("samples", F.lit(0.0), lambda s, x: s + F.get(x, i)) / F.size("samples")).alias("v"))
+    best = nearest(vectors.select(*keys, F.col("centroid").alias("v")), means, keys, threshold, [])
+    who = best.join(library.select(F.col("pos").cast("long").alias("place"), F.col("id").alias("person_id"), "name"), "place").drop("place")
+    return vectors.join(who, keys, "left")
 
 
 def attach(weak: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """Weak faces with the person of their folder whose centroid is most similar, over the threshold (the largest id among
     equals): FACE_KEY, person_id."""
-    near = dot(F.col("embed"), F.col("centroid"))
-    d = weak.join(known.select("folder", F.col("person_id"), "centroid"), "folder").withColumn("near", near).where(F.col("near") > threshold)
-    return d.groupBy(*FACE_KEY).agg(F.max(F.struct("near", "person_id")).alias("b")).select(*FACE_KEY, F.col("b.person_id").alias("person_id"))
+    d = nearest(weak.select(*FACE_KEY, F.col("embed").alias("v")), known.select("folder", F.col("person_id").alias("place"), F.col("centroid").alias("v")), FACE_KEY, threshold, ["folder"])
+    return d.withColumnRenamed("place", "person_id")
 
 
 def apply_overrides(members: DataFrame, overrides: DataFrame, faces: DataFrame) -> DataFrame:
@@ -200,7 +264,7 @@ def learn(library: DataFrame, learned: DataFrame, cfg: PeopleConfig = PeopleConf
     """Adds learned vectors (name, embeds) to a library (id, name, samples): matched to a person by trimmed name in ASCII
     case, else a new person with the next free id, new names in their order. Samples are spread over a set, and only
     the last `samples` of a person are kept."""
-    key = lambda c: F.lower(F.trim(c))
+    key = lambda c: F.translate(F.trim(c), UPPER, LOWER)
     new = learned.select(key(F.col("name")).alias("k"), F.trim("name").alias("new_name"), F.col("embeds"))
     new = new.select("k", "new_name", F.transform(spread(F.size("embeds"), cfg.samples), lambda p: F.get("embeds", p)).alias("more"))
     d = library.select(key(F.col("name")).alias("k"), "id", "name", "samples").join(new, "k", "full_outer")
@@ -208,7 +272,7 @@ def learn(library: DataFrame, learned: DataFrame, cfg: PeopleConfig = PeopleConf
     fresh = F.row_number().over(Window.partitionBy(F.col("id").isNull()).orderBy("k"))
     all_samples = F.concat(F.coalesce("samples", F.array().cast(library.schema["samples"].dataType)), F.coalesce("more", F.array().cast(library.schema["samples"].dataType)))
     kept = F.slice(all_samples, F.greatest(F.size(all_samples) - cfg.samples + 1, F.lit(1)), cfg.samples)
-    return d.join(top).select(F.coalesce("id", F.col("top") + fresh).cast("long").alias("id"), F.coalesce("name", "new_name").alias("name"), kept.alias("samples"))
+    return d.join(F.broadcast(top)).select(F.coalesce("id", F.col("top") + fresh).cast("long").alias("id"), F.coalesce("name", "new_name").alias("name"), kept.alias("samples"))
 
 
 def rename(library: DataFrame, person: int, name: str, cfg: PeopleConfig = PeopleConfig()) -> DataFrame:
@@ -217,7 +281,7 @@ def rename(library: DataFrame, person: int, name: str, cfg: PeopleConfig = Peopl
     name = name.strip()
     if not name:
         return library.where(F.col("id") != person)
-    one, other = library.where(F.col("id") == person), F.lower("name") == name.lower()
+    one, other = library.where(F.col("id") == person), F.translate("name", UPPER, LOWER) == name.translate(str.maketrans(UPPER, LOWER))
     moved = one.select(F.lit(name).alias("name"), F.col("samples").alias("embeds"))
     taken = library.where((F.col("id") != person) & other)
     merged = learn(taken, moved.join(taken.select(F.lit(1).alias("one")).limit(1), how="left_semi"), cfg)

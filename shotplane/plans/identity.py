@@ -77,23 +77,15 @@ def numbered_people(spark, sf_dir):
     return people.numbered(d).select("folder", "person_id", "shown")
 
 
-def learned(spark: SparkSession, sf_dir: str, which: str = "label < 4") -> DataFrame:
-    """Faces of each label, of those below 4 for the SQL, as embeds of a name: P3 is known, others are new."""
-    d = adapters.load(spark, sf_dir, "embeddings").where(which)
+def learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces of each label as embeds of a name: P3 is known, others are new."""
+    d = adapters.load(spark, sf_dir, "embeddings").where("label is not null")
     e = d.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v")))), lambda s: s["v"]).alias("embeds"))
     return e.select(F.concat(F.lit(" p"), F.col("label").cast("string")).alias("name"), "embeds")
 
 
 def library_learn_cap(spark, sf_dir):
-    return ends(people.learn(library(spark, sf_dir), learned(spark, sf_dir)))
-
-
-def library_learn_cap_full(spark, sf_dir):
-    """Learns from the faces of all labels."""
-    return ends(people.learn(library(spark, sf_dir), learned(spark, sf_dir, "label is not null")))
-
-
-def ends(d: DataFrame) -> DataFrame:
+    d = people.learn(library(spark, sf_dir), learned(spark, sf_dir))
     return d.select("id", "name", F.size("samples").alias("n"), F.round(F.get(F.element_at("samples", 1), F.lit(0)), 5).alias("first"), F.round(F.get(F.element_at("samples", -1), F.lit(0)), 5).alias("last"))
 
 
@@ -126,15 +118,14 @@ ENTRIES = {
     "numbered_people": (numbered_people, f"with {F_}, p as (select distinct folder, vec_id % 6 as person_id from f) select folder, person_id, case when person_id % 3 = 0 then 'N' || cast(person_id as string) else 'Person ' || cast(cast(sum(case when person_id % 3 <> 0 then 1 else 0 end) over (partition by folder order by person_id rows unbounded preceding) as bigint) as string) end as shown from p"),
     "library_learn_cap": (
         library_learn_cap,
-        f"""with l as ({duck('library')}), e as (select label, embedding, row_number() over (partition by label order by vec_id) - 1 as i, count(*) over (partition by label) as n from embeddings where label < 4),
+        f"""with l as ({duck('library')}), e as (select label, embedding, row_number() over (partition by label order by vec_id) - 1 as i, count(*) over (partition by label) as n from embeddings where label is not null),
     k as (select label, e.embedding, row_number() over (partition by label order by i) as r from e where exists (select 1 from (select unnest(range(0, 25)) as t) s where cast(floor(s.t * greatest(n / 24e0, 1e0)) as bigint) = i)),
     t as (select label, max(r) as n from k group by 1), top as (select max(id) as top from l),
-    fresh as (select label, row_number() over (order by label) as f from t where not exists (select 1 from l where lower(l.name) = 'p' || cast(t.label as string))),
+    fresh as (select label, row_number() over (order by 'p' || cast(label as string)) as f from t where not exists (select 1 from l where lower(l.name) = 'p' || cast(t.label as string))),
     a as (select l.id, l.name, 0 as r, l.sample as v from l union all select coalesce(l.id, top.top + fresh.f), coalesce(l.name, 'p' || cast(k.label as string)), k.r, k.embedding from k cross join top left join l on lower(l.name) = 'p' || cast(k.label as string) left join fresh on fresh.label = k.label),
     b as (select *, row_number() over (partition by id order by r desc) as back from a), c as (select *, row_number() over (partition by id order by r) as fwd, count(*) over (partition by id) as n from b where back <= 24)
     select id, name, max(n) as n, round(max(case when fwd = 1 then cast(v[1] as double) end), 5) as first, round(max(case when back = 1 then cast(v[1] as double) end), 5) as last from c group by 1, 2""",
     ),
-    "library_learn_cap_full": (library_learn_cap_full, None),
     "library_rename_merge": (library_rename_merge, f"with l as ({duck('library')}) select id, case when id = 203 then 'Ann' else name end as name, case when id = 3 then 2 else 1 end as n from l where id not in (103, 303)"),
     "cluster_people": (cluster_people, None),
 }
