@@ -51,7 +51,7 @@ def group_similar(spark, sf_dir):
 
 def group_stretches(spark, sf_dir):
     """group_similar over stretches of five days."""
-    return group.group(adapters.shots(spark, sf_dir), replace(BREAK, split_dist=0.35), bucket=432000.0).select(*KEYS, "group_id")
+    return group.group(adapters.shots(spark, sf_dir), replace(BREAK, split_dist=0.35), stretch=432000.0).select(*KEYS, "group_id")
 
 
 def regroup_edits(spark, sf_dir):
@@ -163,12 +163,6 @@ def toggles(d: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def mark_toggles(spark, sf_dir):
-    """The frames that its SQL is written for; mark_toggles_full marks all."""
-    d = judged(spark, sf_dir)
-    return toggles(d, d.where("event_id % 3 = 0"))
-
-
-def mark_toggles_full(spark, sf_dir):
     d = judged(spark, sf_dir)
     return toggles(d, d)
 
@@ -192,22 +186,13 @@ def missed_rejects(spark, sf_dir):
     return calibrate.missed_rejects(judged(spark, sf_dir)).select(*KEYS, F.array_join("reasons", ",").alias("reasons"), F.round("rel_sharp", 6).alias("rel_sharp"), F.round(F.get("blink", F.lit(0)), 6).alias("blink0"), F.round(F.get("blink", F.lit(1)), 6).alias("blink1"))
 
 
-#: The values that the SQL of knob_sweep has branches for; knob_sweep_full tries all of the threshold's.
-SWEEP = (0.25, 0.5, 0.8)
-
-
-def swept(spark: SparkSession, sf_dir: str, values: list[float]) -> DataFrame:
-    own = adapters.table(spark, sf_dir, "decisions")
-    errors = calibrate.sweep(grouped(spark, sf_dir), own, BREAK, "soft_rel", values)
-    return spark.createDataFrame([(float(v), int(e)) for v, e in zip(values, errors)], "value double, errors long")
+#: All values of one threshold.
+SWEEP = next(calibrate.knob_values(*r) for k, *r in KNOBS if k == "soft_rel")
 
 
 def knob_sweep(spark, sf_dir):
-    return swept(spark, sf_dir, list(SWEEP))
-
-
-def knob_sweep_full(spark, sf_dir):
-    return swept(spark, sf_dir, next(calibrate.knob_values(*r) for k, *r in KNOBS if k == "soft_rel"))
+    own = adapters.table(spark, sf_dir, "decisions")
+    return calibrate.swept(grouped(spark, sf_dir), own, BREAK, "soft_rel", SWEEP).select("value", "errors")
 
 
 def calibrate_search(spark, sf_dir):
@@ -301,13 +286,11 @@ ENTRIES = {
     "decision_changes": (decision_changes, f"with frames as ({duck('frames')}), dec as ({duck('decisions')}) select f.folder, f.file, case when event_id % 6 < 2 then 'pick' else d.mark end as mark, case when event_id % 6 < 2 then 2 else 1 end as stars from frames f left join dec d on f.folder = d.folder and f.file = d.file where (event_id % 6 < 2 and event_id % 5 <> 0) or (event_id % 6 >= 2 and d.mark is not null)"),
     "accepted_groups": (accepted_groups, f"with {E} select effective as decided, count(*) as n from eff group by 1"),
     "visible_groups": (visible_groups, f"with {E} select folder, group_id, row_number() over (partition by folder order by group_id) as place from (select distinct folder, group_id from eff where decided = 'reject')"),
-    "mark_toggles": (mark_toggles, f"with {E}, g as (select folder, group_id, bool_and(coalesce(decided, '') = 'reject') as has from eff where event_id % 3 = 0 group by 1, 2) select e.folder, e.file, case when e.decided = 'pick' then 'none' else 'pick' end as toggled, case when g.has then 'none' else 'reject' end as grouped from eff e join g on e.folder = g.folder and e.group_id = g.group_id where e.event_id % 3 = 0"),
-    "mark_toggles_full": (mark_toggles_full, None),
+    "mark_toggles": (mark_toggles, f"with {E}, g as (select folder, group_id, bool_and(coalesce(decided, '') = 'reject') as has from eff group by 1, 2) select e.folder, e.file, case when e.decided = 'pick' then 'none' else 'pick' end as toggled, case when g.has then 'none' else 'reject' end as grouped from eff e join g on e.folder = g.folder and e.group_id = g.group_id"),
     "reason_labels": (reason_labels, f"with {E}, x as (select folder, file, unnest(string_split(reasons, ',')) as reason, unnest(range(0, len(string_split(reasons, ',')))) as i from eff where reasons <> '') select folder, file, i, case reason when 'soft-frame' then 'soft' else replace(reason, '-', ' ') end as label, case when reason in ('eyes-closed', 'soft-eyes', 'soft-frame', 'face-cut') then 'bad' when reason in ('sharpest', 'smile') then 'good' else 'info' end as tone from x"),
     "mark_agreement": (mark_agreement, f"with m as ({duck('marks')}) " + " union all ".join(AGREE.format(m=m) for m in ("reject", "pick"))),
     "reason_stats": (reason_stats, f"with {E}, x as (select decided, unnest(string_split(reasons, ',')) as reason from eff where decided is not null and reasons <> '') select reason, count(*) as flagged, count(*) filter (where decided = 'reject') as rejected, count(*) filter (where decided = 'pick') as picked from x group by 1"),
     "missed_rejects": (missed_rejects, f"with {E}, f as (select folder, file, blink0, blink1 from (select *, row_number() over (partition by folder, file order by least(blink0, blink1) desc, k desc) as n from faces) where n = 1) select e.folder, e.file, e.reasons, round(e.rel_sharp, 6) as rel_sharp, round(f.blink0, 6) as blink0, round(f.blink1, 6) as blink1 from eff e left join f on e.folder = f.folder and e.file = f.file where e.decided = 'reject' and e.mark <> 'reject'"),
     "knob_sweep": (knob_sweep, sweep_sql()),
-    "knob_sweep_full": (knob_sweep_full, None),
     "calibrate_search": (calibrate_search, None),
 }
