@@ -51,9 +51,8 @@ def exif_time(spark, sf_dir):
 def scan_ordered(spark, sf_dir):
     """Photos with metadata from exported rows; place is the order of capture in a folder."""
     d = files(spark, sf_dir)
-    rows = d.where("o_orderkey % 6 <> 0").select(F.concat_ws("/", "folder", "file").alias("SourceFile"), F.when(F.col("o_orderkey") % 8 == 1, 6).alias("Orientation"), F.lit("2024:05:06 07:08:09").alias("DateTimeOriginal"), (F.col("o_orderkey") % 10).cast("string").alias("SubSecTimeOriginal"), "folder")
-    e = listing.exif_rows(rows.dropDuplicates(["SourceFile"])).groupBy("file").agg(F.min("time").alias("time"), F.max("orientation").alias("orientation"))
-    return listing.scan(d, e).select(*KEYS, F.round("time", 3).alias("time"), "orientation")
+    rows = d.where("o_orderkey % 6 <> 0").select(F.concat_ws("/", "folder", "file").alias("SourceFile"), F.when(F.col("o_orderkey") % 8 == 1, 6).alias("Orientation"), F.lit("2024:05:06 07:08:09").alias("DateTimeOriginal"), (F.col("o_orderkey") % 10).cast("string").alias("SubSecTimeOriginal"))
+    return listing.scan(d, listing.exif_rows(rows)).select(*KEYS, F.round("time", 3).alias("time"), "orientation")
 
 
 def file_names(spark, sf_dir):
@@ -106,16 +105,24 @@ def civil() -> str:
     return f"({DAYS.format(y=yy)} + floor(({m} * 153 + 2) / 5e0) + d - 1)"
 
 
+#: Bits of single-precision numbers from 0 to 1 by their exponent and fraction, then one step of the hash a byte.
+FLOATS = "select s_suppkey, unnest(range(0, 4)) as i, unnest([3, 5, 7, 11]) as m from supplier"
+CROP_IDS = f"""with recursive v as (select s_suppkey, i, cast(cast(s_suppkey * m % 97 / 97e0 as float) as double) as v from ({FLOATS})), e as (select *, case when v > 0 then floor(log2(v)) end as e from v),
+t as (select s_suppkey, i, case when v = 0 then 0 else (cast(e as bigint) + 127) * 8388608 + cast((v / power(2, e) - 1) * 8388608 as bigint) end as bits from e),
+y as (select s_suppkey, i * 4 + j + 1 as n, cast(floor(bits / power(256, j)) as bigint) % 256 as byte from t cross join (select unnest(range(0, 4)) as j)),
+h as (select distinct s_suppkey, cast(0 as bigint) as n, cast(2216829733 as bigint) as h from y union all select h.s_suppkey, y.n, (xor(h.h, y.byte) * 435) % 4294967296 from h join y on h.s_suppkey = y.s_suppkey and y.n = h.n + 1)
+select s_suppkey, lower(printf('%08x', h)) as id from h where n = 16"""
+
 ENTRIES = {
     "scan_photos_dedup": (scan_photos_dedup, f"with {FILES} select folder, file from e where ext = 'cr3' or (ext = 'jpg' and not exists (select 1 from e r where r.folder = e.folder and r.stem = e.stem and r.ext = 'cr3'))"),
     "cache_hits": (cache_hits, f"with {FILES}, {CACHED} select folder, file from c"),
     "cache_misses": (cache_misses, f"with {FILES}, {CACHED} select f.folder, f.file from f left join c on f.folder = c.folder and f.file = c.file where c.file is null"),
     "cache_merge": (cache_merge, f"with {FILES}, {CACHED} select f.folder, count(c.file) as held, count(*) - count(c.file) as anew from f left join c on f.folder = c.folder and f.file = c.file group by 1"),
     "exif_time": (exif_time, f"with x as (select o_orderkey, case when o_orderkey % 9 = 0 then [2026, 2, 31, 25, 61, 7] when o_orderkey % 9 < 3 then null else [year(o_orderdate), month(o_orderdate), day(o_orderdate), hour(o_orderdate), minute(o_orderdate), second(o_orderdate)] end as p from orders), q as (select *, p[1] as y, p[2] as mo, p[3] as d from x) select o_orderkey, cast({civil()} * 86400 + p[4] * 3600 + p[5] * 60 + p[6] as double) as t, round(case when o_orderkey % 4 < 2 then 0 else cast('0.' || cast(o_orderkey % 1000 as string) as double) end, 6) as sub from q"),
-    "scan_ordered": (scan_ordered, f"with {FILES}, m as (select file, min((o_orderkey % 10) / 1e1) as s, max(case when o_orderkey % 8 = 1 then 6 else 1 end) as o from f where o_orderkey % 6 <> 0 group by 1), k as (select * from e where ext = 'cr3' or (ext = 'jpg' and not exists (select 1 from e r where r.folder = e.folder and r.stem = e.stem and r.ext = 'cr3'))) select k.folder, k.file, round(coalesce(m.s + (2024 * 365 + 506 - 20 + 5 + 66) * 86400e0 + 7 * 3600 + 8 * 60 + 9, 0), 3) as time, coalesce(m.o, 1) as orientation from k left join m on k.file = m.file"),
+    "scan_ordered": (scan_ordered, f"with {FILES}, m as (select folder, file, (o_orderkey % 10) / 1e1 as s, case when o_orderkey % 8 = 1 then 6 else 1 end as o from f where o_orderkey % 6 <> 0), k as (select * from e where ext = 'cr3' or (ext = 'jpg' and not exists (select 1 from e r where r.folder = e.folder and r.stem = e.stem and r.ext = 'cr3'))) select k.folder, k.file, round(coalesce(m.s + (2024 * 365 + 506 - 20 + 5 + 66) * 86400e0 + 7 * 3600 + 8 * 60 + 9, 0), 3) as time, coalesce(m.o, 1) as orientation from k left join m on k.folder = m.folder and k.file = m.file"),
     "file_names": (file_names, f"with {FILES} select folder, file, stem, ext, split_part(stem, '-', 2) as short, file as name, stem || '_t.jpg' as thumb, stem || '_eyes1.jpg' as eyes, '%a.b%c%' || folder || '%' || file || '.todo' as queue from e"),
     "fnv_low32": (fnv_low32, "with recursive b as (select page_id, url, 1 as i, cast(2216829733 as bigint) as h from pages union all select page_id, url, i + 1, (xor(h, cast(ascii(substr(url, i, 1)) as bigint)) * 435) % 4294967296 from b where i <= length(url)) select page_id, h from b where i = length(url) + 1"),
-    "crop_ids": (crop_ids, None),
+    "crop_ids": (crop_ids, CROP_IDS),
     "session_state": (session_state, "select cast(n_nationkey as string) as folder, case when n_nationkey % 3 = 0 then 0 else 1 end as n, case n_nationkey % 3 when 0 then '' when 1 then 'a' else 'b' end as files, case when n_nationkey % 3 = 2 then 2 else 0 end as splits, 0 as joins, case when n_nationkey % 3 = 2 then 7 end as person from nation"),
     "signature_stretch": (signature_stretch, "with g as (select vec_id, list_transform(embedding, lambda x: cast(round((cast(x as double) + 1) * 127.5e0) as int)) as g from embeddings) select vec_id, array_to_string(list_transform(g, lambda v: cast(floor((v - list_min(g)) * 255 / cast(greatest(list_max(g) - list_min(g), 1) as double)) as int)), ',') as sig from g"),
     "named_score": (named_score, "select vec_id, round(cast(embedding[1] as double), 6) as blink, round(cast(embedding[2] as double), 6) as smile, 0.0 as frown from embeddings"),

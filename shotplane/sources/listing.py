@@ -29,19 +29,21 @@ def photos(files: DataFrame) -> DataFrame:
 
 
 def read_exif(spark: SparkSession, path: str) -> DataFrame:
-    """Exported metadata rows (JSON lines): file, time, orientation."""
+    """Exported metadata rows (JSON lines): folder, file, time, orientation."""
     return exif_rows(spark.read.schema(schema.EXIF).json(path))
 
 
 def exif_rows(rows: DataFrame) -> DataFrame:
-    """Capture time in seconds, 0 if it cannot be read; orientation, 1 if it is missing."""
+    """Capture time in seconds, 0 if it cannot be read; orientation, 1 if it is missing. Folder and file are those of
+    SourceFile; a bare name has an empty folder."""
     t = F.coalesce(parse_exif_time(F.col("DateTimeOriginal")), F.lit(0.0)) + sub_second(F.col("SubSecTimeOriginal"))
-    return rows.select(file_name(F.col("SourceFile")).alias("file"), t.alias("time"), F.coalesce("Orientation", F.lit(1)).alias("orientation"))
+    folder = F.when(F.contains("SourceFile", F.lit("/")), F.regexp_replace("SourceFile", "/[^/]*$", "")).otherwise("")
+    return rows.select(folder.alias("folder"), file_name(F.col("SourceFile")).alias("file"), t.alias("time"), F.coalesce("Orientation", F.lit(1)).alias("orientation"))
 
 
 def scan(files: DataFrame, exif: DataFrame) -> DataFrame:
-    """Photos in capture order with time and orientation."""
-    d = photos(files).join(exif, "file", "left")
+    """Photos in capture order with time and orientation: files of one name in several folders have their own."""
+    d = photos(files).join(exif.dropDuplicates(["folder", "file"]), ["folder", "file"], "left")
     return d.select(*files.columns, F.coalesce("time", F.lit(0.0)).alias("time"), F.coalesce("orientation", F.lit(1)).alias("orientation")).orderBy("folder", "time", "file")
 
 
