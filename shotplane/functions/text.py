@@ -107,9 +107,10 @@ def change_line(file: Column, rating: Column, green: Column, add: Column, remove
 
 
 def parse_change(line: Column) -> dict[str, Column]:
-    """The fields of a change line, and whether they are well formed."""
+    """The fields of a change line, and whether they are well formed; ratings are 8-bit numbers."""
     f = F.split(line, "\t", -1)
     items = lambda c: F.when(c == "-", F.array().cast("array<string>")).otherwise(F.split(c, ","))
     field = lambda k: F.coalesce(F.get(f, F.lit(k)), F.lit(""))
-    fine = (F.size(f) == 5) & field(1).rlike("^(keep|set:-?[0-9]{1,3}|restore:-?[0-9]{1,3}:-?[0-9]{1,3})$") & field(2).rlike("^(keep|set|restore:[01])$")
+    small = F.forall(F.regexp_extract_all(field(1), F.lit("-?[0-9]+"), F.lit(0)), lambda n: n.try_cast("tinyint").isNotNull())
+    fine = (F.size(f) == 5) & field(1).rlike("^(keep|set:-?[0-9]{1,3}|restore:-?[0-9]{1,3}:-?[0-9]{1,3})$") & small & field(2).rlike("^(keep|set|restore:[01])$")
     return {"valid": fine, "file": field(0), "rating": field(1), "green": field(2), "add": items(field(3)), "remove": items(field(4))}

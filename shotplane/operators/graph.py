@@ -2,30 +2,53 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local run gets a folder of its
+    own; a cluster, whose machines would not see that, gets an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get() if held.isDefined() else None
     if not at:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="shotplane-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
-def cut(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Writes a table to the shared folder and reads it again: its lineage ends here, and a lost executor costs nothing."""
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Discards, at its end, the tables that were cut within it: write or collect what is built from them before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            discard(spark, path)
+
+
+def cut(df: DataFrame, tag: str, keep: bool = False) -> tuple[DataFrame, str]:
+    """Writes a table to the shared folder and reads it again: its lineage ends here, and a lost executor costs nothing.
+    With `keep` it outlives the scope that it is made in."""
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/shotplane/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -115,23 +115,14 @@ def dry_run(spark, sf_dir):
     return export.route(planned(spark, sf_dir), have).groupBy("route", "rating").agg(F.count("*").alias("n"))
 
 
-def imports(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """Film rolls from nations, images from customers; which rolls are asked for."""
+def imported_files(spark, sf_dir):
+    """Film rolls from nations, images from customers; all rolls are asked for."""
     rolls = adapters.load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("/p/"), "n_name").alias("roll"))
     imgs = adapters.load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("film_id"), F.col("c_name").alias("filename"))
-    asked = rolls.where(which).select(F.lower("roll").alias("folder"), "roll")
+    asked = rolls.select(F.lower("roll").alias("folder"), "roll")
     return editor.imported(rolls, imgs, asked)
 
 
-def imported_files(spark, sf_dir):
-    """The rolls that its SQL asks for; imported_files_full asks for all."""
-    return imports(spark, sf_dir, "id % 4 = 1")
-
-
-def imported_files_full(spark, sf_dir):
-    return imports(spark, sf_dir, "true")
-
-
 def xml_list(spark, sf_dir):
     d = adapters.load(spark, sf_dir, "pages")
     return d.select("page_id", F.array_join(text.list_items(F.col("html"), "p"), "|").alias("items"))
@@ -142,18 +133,40 @@ def xml_attr(spark, sf_dir):
     return d.select("page_id", text.attribute(F.col("html"), "lang").alias("lang"), text.attribute(F.col("html"), "href").alias("href"), F.length(text.escape(F.col("html"))).alias("escaped"))
 
 
-def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fresh sidecar by file, edited to its targets."""
-    d = planned(spark, sf_dir).where("rating not like 'restore%'")
-    edit = xmp.edit_sidecars()
-    return d.select(*KEYS, "rating", "green", "add", "remove", edit("file", F.lit(None).cast("string"), "rating", "green", "add", "remove").alias("e"))
+#: A sidecar that a user has edited, by the values of its rating, tag and label.
+USERS = '<x:xmpmeta xmlns:x="adobe:ns:meta/">\n <rdf:RDF>\n  <rdf:Description rdf:about=""\n    xmlns:xmp="http://ns.adobe.com/xap/1.0/"\n    note="a > b"\n   xmp:Rating="%d">\n{lists}   <other>\n    keep  this\n   </other>\n  </rdf:Description>\n </rdf:RDF>\n</x:xmpmeta>\n'
+LISTS = "   <lr:hierarchicalSubject>\n    <rdf:Bag>\n     <rdf:li>cull|reason|eyes-closed</rdf:li>\n     <rdf:li>mine|x</rdf:li>\n    </rdf:Bag>\n   </lr:hierarchicalSubject>\n   <darktable:colorlabels>\n    <rdf:Seq>\n     <rdf:li>2</rdf:li>\n    </rdf:Seq>\n   </darktable:colorlabels>\n"
+
+
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All changes with the sidecars before and after them: a third of the files has none yet, a third one with a rating
+    alone, a third one with a reject's rating, tags and the green label."""
+    d, k = planned(spark, sf_dir), F.col("file").cast("long") % 3
+    users = F.when(k == 1, F.format_string(USERS.format(lists=""), (F.col("file").cast("long") % 5 - 1).cast("int"))).when(k == 2, F.format_string(USERS.format(lists=LISTS), F.lit(-1)))
+    return d.withColumn("text", users).withColumn("e", xmp.edit_sidecars()("file", "text", "rating", "green", "add", "remove"))
 
 
 def xmp_edit_roundtrip(spark, sf_dir):
-    """Sidecars read back: their rating and tags are those of the change, and applying it again changes nothing."""
-    d = sidecars(spark, sf_dir)
-    again = xmp.edit_sidecars()("file", F.col("e.text"), "rating", "green", "add", "remove")
-    return d.select(*KEYS, xmp.rating(F.col("e.text")).alias("rating"), F.array_join(text.list_items(F.col("e.text"), element=xmp.HIERARCHY), ",").alias("tags"), F.size(text.list_items(F.col("e.text"), element=xmp.LABELS)).alias("labels"), (again["text"] == F.col("e.text")).alias("same"))
+    """Sidecars read back after every change, restores too: rating, tags, labels; whether all else is as it was, and whether
+    applying the change again changes nothing."""
+    d = edited(spark, sf_dir)
+    t = F.col("e.text")
+    again = xmp.edit_sidecars()("file", t, "rating", "green", "add", "remove")
+    listed = lambda name: text.list_items(t, element=name)
+    whole = F.col("text").isNull() | t.contains("   <other>\n    keep  this\n   </other>\n") & t.endswith("\n  </rdf:Description>\n </rdf:RDF>\n</x:xmpmeta>\n") & t.contains('note="a > b"')
+    return d.select(*KEYS, xmp.rating(t).alias("rating"), F.array_join(listed(xmp.HIERARCHY), ",").alias("tags"), F.size(listed(xmp.LABELS)).alias("labels"), whole.alias("whole"), (again["text"] == t).alias("same"))
+
+
+def send_roundtrip(spark, sf_dir):
+    """What is sent once all changes have gone their ways: sidecars written, and queues applied whose receipts came back."""
+    have = images(spark, sf_dir).where("folder % 2 = 0 and duplicate = 0").select(*KEYS).distinct()
+    routed = export.route(edited(spark, sf_dir), have)
+    written = routed.where("route = 'sidecar' and e.error is null").select(*KEYS, F.lit(1).alias("seq"), "rating", "green", "add", "remove", F.col("e.before_rating").alias("before_rating"), F.col("e.before_green").alias("before_green"))
+    queued = routed.where("route = 'queue'").drop("route", "text", "e")
+    lines = editor.receipt_lines(export.apply_changes(images(spark, sf_dir), queued)).select("folder", F.lit(1).alias("seq"), "line")
+    back = editor.parse_receipts(lines).where("valid and status = 'ok'")
+    out = export.record(sent(spark, sf_dir), written.unionByName(back.select(*written.columns)))
+    return out.select(*KEYS, "rating_set", "rating_before", "green_before", F.array_join("tags", ",").alias("tags"))
 
 
 PLAN = f"""t as (select folder, file, rating, green, case when o_orderstatus = 'F' then ['cull|reason|eyes-closed', 'cull|reason|soft-eyes'] else ['cull|reason|sharpest', 'cull|reason|smile'] end as tags from ({duck('targets')})),
@@ -186,9 +199,19 @@ ENTRIES = {
     "queue_files": (queue_files, f"with {PLAN} select '%photos%' || cast(folder as string) || '.todo' as name, count(*) + 1 as n, '# queue 1 /photos/' || cast(folder as string) as head from p group by folder"),
     "send_report": (send_report, f"with {PLAN}, {IMAGES}, o as (select p.folder, case when i.file is not null and p.folder % 2 = 0 then 'queued' when cast(p.file as bigint) % 23 = 0 then 'failed' else 'written' end as outcome from p left join i on p.folder = i.folder and p.file = i.file union all select p.folder, 'missing' from p left join i on p.folder = i.folder and p.file = i.file where i.file is null and p.folder % 2 = 0) select folder, count(*) filter (where outcome = 'written') as written, count(*) filter (where outcome = 'queued') as queued, count(*) filter (where outcome = 'failed') as failed, count(*) filter (where outcome = 'missing') as missing from o group by 1"),
     "dry_run": (dry_run, f"with {PLAN}, {IMAGES} select case when i.file is not null and p.folder % 2 = 0 then 'queue' else 'sidecar' end as route, p.rating, count(*) as n from p left join i on p.folder = i.folder and p.file = i.file group by 1, 2"),
-    "imported_files": (imported_files, "select lower('/p/' || n_name) as folder, '/p/' || n_name as roll, c_name as file from nation join customer on n_nationkey = c_nationkey where n_nationkey % 4 = 1"),
-    "imported_files_full": (imported_files_full, None),
+    "imported_files": (imported_files, "select lower('/p/' || n_name) as folder, '/p/' || n_name as roll, c_name as file from nation join customer on n_nationkey = c_nationkey"),
     "xml_list": (xml_list, "select page_id, array_to_string(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), '|') as items from pages"),
     "xml_attr": (xml_attr, r"""select page_id, case when regexp_matches(html, '\slang="([^"]*)"') then regexp_extract(html, '\slang="([^"]*)"', 1) end as lang, case when regexp_matches(html, '\shref="([^"]*)"') then regexp_extract(html, '\shref="([^"]*)"', 1) end as href, length(html) + 4 * (length(html) - length(replace(html, '&', ''))) + 3 * (length(html) - length(replace(html, '<', ''))) + 3 * (length(html) - length(replace(html, '>', ''))) + 5 * (length(html) - length(replace(html, '"', ''))) as escaped from pages"""),
-    "xmp_edit_roundtrip": (xmp_edit_roundtrip, f"with {PLAN} select folder, file, case when rating = 'keep' then null else cast(substr(rating, 5) as int) end as rating, {JOIN.format('add')} as tags, case when green = 'set' then 1 else 0 end as labels, true as same from p where rating not like 'restore%'"),
+    "xmp_edit_roundtrip": (
+        xmp_edit_roundtrip,
+        f"""with {PLAN}, u as (select *, cast(file as bigint) % 3 as k, case cast(file as bigint) % 3 when 1 then cast(file as bigint) % 5 - 1 when 2 then -1 end as cur, case when cast(file as bigint) % 3 = 2 then ['cull|reason|eyes-closed', 'mine|x'] else [] end as h from p)
+    select folder, file, cast(case when rating like 'set:%' then cast(substr(rating, 5) as int) when rating like 'restore:%' and cast(split_part(rating, ':', 2) as int) = coalesce(cur, 1) then cast(split_part(rating, ':', 3) as int) else cur end as int) as rating,
+    array_to_string(list_sort(list_distinct(list_concat(list_filter(h, lambda t: not list_contains(remove, t)), add))), ',') as tags, case when green = 'set' then 1 when green = 'restore:0' then 0 when k = 2 then 1 else 0 end as labels, true as whole, true as same from u""",
+    ),
+    "send_roundtrip": (
+        send_roundtrip,
+        f"""with {PLAN}, {IMAGES}, d as (select j.*, p0.rating, p0.green, p0.add, p0.remove, (p0.rating <> 'keep' or p0.green <> 'keep' or len(p0.add) > 0 or len(p0.remove) > 0) as done,
+    case when i.file is not null and j.folder % 2 = 0 then r0 else coalesce(case cast(j.file as bigint) % 3 when 1 then cast(cast(j.file as bigint) % 5 - 1 as int) when 2 then -1 end, 1) end as b_rating,
+    case when i.file is not null and j.folder % 2 = 0 then g0 else cast(j.file as bigint) % 3 = 2 end as b_green from j join p0 on j.folder = p0.folder and j.file = p0.file left join i on j.folder = i.folder and j.file = i.file), {RECORD}""",
+    ),
 }

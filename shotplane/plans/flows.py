@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotplane.config import CullConfig, PeopleConfig, ReframeConfig
+from shotplane.functions import xmp
 from shotplane.operators import calibrate, crops, export, group, judge, people
+from shotplane.operators.graph import cut
 from shotplane.sources import editor, listing, state
 
 
@@ -49,5 +53,41 @@ def collect(sessions: DataFrame, receipts: DataFrame) -> DataFrame:
     return export.record(state.sent(sessions), editor.parse_receipts(receipts).where("valid and status = 'ok'"))
 
 
+def send(spark: SparkSession, frames: DataFrame, sent: DataFrame, imported: DataFrame, sidecars: DataFrame, queue: str, written: str, default_rating: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Sends all changes that are due: sidecars (folder, file, text) of files that the editor does not have are edited and
+    written under `written`, queues of the others under `queue`; queues of folders without changes go. frames are
+    judged ones, sent is what receipts have confirmed. Returns the report by folder, and what is sent now; queued changes
+    count once their receipts come.
+    """
+    by = ["folder", "file"]
+    due = export.route(export.plan(export.targets(frames), sent), imported)
+    side = due.where("route = 'sidecar'").join(sidecars.select(*by, "text"), by, "left")
+    side, _ = cut(side.withColumn("e", xmp.edit_sidecars(default_rating)("file", "text", "rating", "green", "add", "remove")), "sidecars")
+    fine = side.where("e.error is null")
+    editor.write_sidecars(fine.select(*by, "e.text"), written)
+    queued = due.where("route = 'queue'").withColumn("roll", F.col("folder"))
+    editor.write_queue(queued, queue, frames.select(F.col("folder").alias("roll")))
+    outcome = side.select("folder", F.when(F.col("e.error").isNull(), "written").otherwise("failed").alias("outcome")).unionByName(queued.select("folder", F.lit("queued").alias("outcome")))
+    done = fine.select(*by, F.lit(1).alias("seq"), "rating", "green", "add", "remove", "e.before_rating", "e.before_green")
+    return export.report(outcome), export.record(sent, done)
+
+
+def backfill(analyses: DataFrame, exif: DataFrame, embedded: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Analyses once those that have faces and no identity vectors got some: they are joined with fresh metadata for their
+    orientation and given to embedded(rows), which returns analyses; the others stay as they are."""
+    key = ["folder", "file"]
+    stale = listing.stale_identity(analyses)
+    fresh = embedded(stale.join(exif.select(*key, F.col("orientation").alias("turned")).dropDuplicates(key), key, "left"))
+    return analyses.join(stale.select(*key), key, "left_anti").unionByName(fresh.select(*analyses.columns))
+
+
+def scenes(saved: DataFrame | None, files: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Scenes of files read through a cache: saved ones whose file has not changed, and the others built anew."""
+    if saved is None:
+        return build(files)
+    held = saved.join(files.select(*listing.FINGERPRINT), listing.FINGERPRINT, "left_semi")
+    return held.unionByName(build(files.join(held.select(*listing.FINGERPRINT), listing.FINGERPRINT, "left_anti")))
+
+
 def suggested(scenes: DataFrame, cfg: ReframeConfig = ReframeConfig()) -> DataFrame:
     return crops.suggest(scenes, cfg)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotplane import schema
+from shotplane.operators.graph import cut
 
 
 def parse_sessions(texts: DataFrame) -> DataFrame:
@@ -39,6 +40,39 @@ def sent(sessions: DataFrame) -> DataFrame:
     return d.select("folder", "file", F.col("s.rating.set").alias("rating_set"), F.col("s.rating.before").alias("rating_before"), F.col("s.green").alias("green_before"), F.coalesce("s.tags", F.array().cast("array<string>")).alias("tags"))
 
 
+def with_sent(sessions: DataFrame, sent: DataFrame) -> DataFrame:
+    """Sessions whose record of what is sent is replaced by rows (folder, file, rating_set, rating_before, green_before,
+    tags)."""
+    one = F.struct(F.when(F.col("rating_set").isNotNull(), F.struct(F.col("rating_set").alias("set"), F.col("rating_before").alias("before"))).alias("rating"), F.col("green_before").alias("green"), "tags")
+    rows = sent.groupBy("folder").agg(F.map_from_entries(F.collect_list(F.struct("file", one.alias("s")))).cast(schema.SESSION["sent"].dataType).alias("_sent"))
+    d = sessions.drop("sent").join(rows, "folder", "left")
+    return d.withColumn("sent", F.coalesce("_sent", F.create_map().cast(schema.SESSION["sent"].dataType))).select(*sessions.columns)
+
+
+def upsert(sessions: DataFrame, edits: DataFrame, collection: str) -> DataFrame:
+    """Sessions with entries of a map collection (`people`, `crops`, `decisions`) set to those of edits (folder, key, value);
+    a null value takes the entry away. A folder without a session gets one. The last of equal keys counts, by value."""
+    kind = schema.SESSION[collection].dataType
+    rows = edits.groupBy("folder", "key").agg(F.max("value").alias("value")).groupBy("folder").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_new"))
+    d = sessions.join(rows, "folder", "full_outer")
+    new = F.coalesce("_new", F.create_map().cast(rows.schema["_new"].dataType))
+    old = F.map_filter(F.coalesce(collection, F.create_map().cast(kind)), lambda k, _: ~F.map_contains_key(new, k))
+    merged = F.map_concat(old, F.map_filter(new, lambda _, v: v.isNotNull()).cast(kind))
+    others = [F.coalesce(f.name, F.create_map().cast(f.dataType) if f.dataType.typeName() == "map" else F.array().cast(f.dataType)).alias(f.name) for f in schema.SESSION if f.name != collection]
+    return d.select("folder", *others, merged.alias(collection)).select(*sessions.columns)
+
+
+def assign_faces(sessions: DataFrame, faces: DataFrame) -> DataFrame:
+    """A user's assignments (folder, file, face_idx, person_id; 0 is nobody, null takes the assignment back)."""
+    return upsert(sessions, faces.select("folder", F.concat_ws(":", "file", "face_idx").alias("key"), F.col("person_id").alias("value")), "people")
+
+
+def set_crops(sessions: DataFrame, crops: DataFrame) -> DataFrame:
+    """The kept crops of frames (folder, file, crops: array of crop and ratio), replaced whole; null or none clears them."""
+    value = F.when(F.size("crops") > 0, F.col("crops"))
+    return upsert(sessions, crops.select("folder", F.col("file").alias("key"), value.alias("value")), "crops")
+
+
 def kept_crops(sessions: DataFrame) -> DataFrame:
     """Crops kept by a user: folder, file, x, y, w, h, rn, rd."""
     d = sessions.select("folder", F.explode("crops").alias("file", "cs")).select("folder", "file", F.explode("cs").alias("c"))
@@ -46,6 +80,8 @@ def kept_crops(sessions: DataFrame) -> DataFrame:
 
 
 def save_sessions(sessions: DataFrame, path: str) -> None:
+    """Saves sessions by folder; they are held in a shared table first, as they may come from the very files."""
+    sessions, _ = cut(sessions, "sessions")
     sessions.select("folder", F.to_json(F.struct(*(f.name for f in schema.SESSION))).alias("value")).write.mode("overwrite").partitionBy("folder").text(path)
 
 

@@ -104,6 +104,50 @@ def naive_linkage(v, thr):
         groups.sort(key=lambda g: min(g))
 
 
+def test_nearest_equals_brute_force_over_blocks(spark):
+    r = np.random.default_rng(4)
+    left, right = r.standard_normal((70, 5)).round(1), r.standard_normal((40, 5)).round(1)
+    a = spark.createDataFrame([("fg"[i % 2], i, v.tolist()) for i, v in enumerate(left)], "folder string, k long, v array<double>")
+    b = spark.createDataFrame([("fg"[i % 2], i, v.tolist()) for i, v in enumerate(right)], "folder string, place long, v array<double>")
+    for scope, keys in (([], ["k"]), (["folder"], ["folder", "k"])):
+        got = {x.k: x.place for x in people.nearest(a, b, keys, 1.0, scope, block=9).collect()}
+        want = {}
+        for i, v in enumerate(left):
+            some = [(float(v @ w), j) for j, w in enumerate(right) if not scope or i % 2 == j % 2]
+            if max(some)[0] > 1.0:
+                want[i] = max(some)[1]
+        assert got == want
+    assert people.nearest(a, b.limit(0), ["k"], 1.0, []).count() == 0
+
+
+def test_names_differ_by_other_letters_than_a_to_z(spark):
+    lib = library(spark, [(1, "ÉVA", [[1.0]]), (2, "Ann", [[2.0]])]).drop("pos")
+    more = spark.createDataFrame([("éva", [[3.0]]), ("ANN ", [[4.0]])], "name string, embeds array<array<double>>")
+    assert sorted((r.id, r.name, len(r.samples)) for r in people.learn(lib, more).collect()) == [(1, "ÉVA", 1), (2, "Ann", 2), (3, "éva", 1)]
+    assert sorted((r.id, r.name) for r in people.rename(lib, 2, "éva").collect()) == [(1, "ÉVA"), (2, "éva")]
+    assert sorted((r.id, len(r.samples)) for r in people.rename(lib, 1, "aNN").collect()) == [(2, 2)]
+
+
+def test_photos_of_one_name_have_their_own_times(spark):
+    files = spark.createDataFrame([("a", "x.CR3"), ("b", "x.CR3")], "folder string, file string")
+    rows = spark.createDataFrame([("a/x.CR3", 1, "2024:01:01 00:00:01", None), ("b/x.CR3", 3, "2024:01:01 00:00:02", None)], schema.EXIF)
+    got = listing.scan(files, listing.exif_rows(rows)).collect()
+    assert [(r.folder, r.orientation) for r in got] == [("a", 1), ("b", 3)] and got[1].time - got[0].time == 1
+
+
+def test_groups_do_not_depend_on_stretches(spark):
+    r = random.Random(3)
+    rows = [{**frame(f"{i:03}", r.choice([i * 50.0, i * 7.0, 0.0]), wide=r.random() < 0.8, sig=(r.randrange(40),) * 3), "folder": r.choice("fg")} for i in range(200)]
+    d = spark.createDataFrame([tuple(x.values()) for x in rows], TYPE)
+    d = d.withColumn("time", F.when(F.col("file") == "007", None).otherwise(F.col("time")))
+    sets = []
+    for stretch in (1.0, 60.0, 1e9):
+        g = group.group(d, CullConfig(split_dist=0.05), stretch=stretch)
+        e = group.regroup(g, d.where("file like '%5'"), d.where("file like '%8'"), stretch=stretch)
+        sets.append((sorted((x.folder, x.file, x.group_id) for x in g.collect()), sorted((x.folder, x.file, x.group_id) for x in e.collect())))
+    assert sets[0] == sets[1] == sets[2] and len(sets[0][0]) == 200 and sets[0][0] != sets[0][1]
+
+
 def test_linkage_equals_the_naive_one():
     r = np.random.default_rng(3)
     for n in (0, 1, 2, 9, 25):
@@ -227,47 +271,122 @@ def sidecar(body="", attrs='\n   xmp:Rating="3"'):
     return f'<?xml version="1.0"?>\n<x:xmpmeta xmlns:x="adobe:ns:meta/">\n <rdf:RDF>\n  <rdf:Description rdf:about=""\n    xmlns:xmp="http://ns.adobe.com/xap/1.0/"\n    note=\'a > "b"\'{attrs}>\n{body}   <other>\n    keep  this\n   </other>\n  </rdf:Description>\n </rdf:RDF>\n</x:xmpmeta>\n'
 
 
-def test_sidecars_are_edited_in_place():
+def listed(text_, name):
+    return xmp.State.of(text_, xmp.Layout.of(text_)).lists[name]
+
+
+def test_a_rating_alone_changes_only_its_digits():
     plain = sidecar()
-    s = xmp.Sidecar(plain)
-    assert s.rating == 3 and s.items(xmp.LABELS) == []
-    s.rating = 3
-    assert s.text == plain
-    s.rating = -1
-    assert s.text == plain.replace('"3"', '"-1"')
-    s.set_items(xmp.LABELS, ["2"])
-    assert s.items(xmp.LABELS) == ["2"] and s.text.count("xmlns:darktable=") == 1
-    s.set_items(xmp.LABELS, [])
-    s.rating = 3
-    assert s.text == plain.replace("rdf:Description rdf:about", 'rdf:Description\n    xmlns:darktable="http://darktable.sf.net/" rdf:about')
-
-
-def test_changes_to_sidecars_are_reversible_and_spare_users_tags():
-    s = xmp.Sidecar(sidecar("   <lr:hierarchicalSubject>\n    <rdf:Bag>\n     <rdf:li>mine|x</rdf:li>\n    </rdf:Bag>\n   </lr:hierarchicalSubject>\n   <dc:subject>\n    <rdf:Bag>\n     <rdf:li>mine</rdf:li>\n     <rdf:li>x</rdf:li>\n    </rdf:Bag>\n   </dc:subject>\n"))
-    start = s.text
-    assert xmp.apply_change(s, "set:-1", "set", ["t|x", "t|y"], [], 1) == (3, False)
-    assert s.items(xmp.SUBJECT) == ["mine", "t", "x", "y"] and s.items(xmp.HIERARCHY) == ["mine|x", "t|x", "t|y"] and s.items(xmp.LABELS) == ["2"]
-    once = s.text
-    assert xmp.apply_change(s, "set:-1", "set", ["t|x", "t|y"], [], 1) == (-1, True)
-    assert s.text == once
-    xmp.apply_change(s, "restore:-1:3", "restore:0", [], ["t|x", "t|y"], 1)
-    assert s.rating == 3 and s.items(xmp.SUBJECT) == ["mine", "x"] and s.items(xmp.LABELS) == []
-    assert s.text.split("<lr:")[1] == start.split("<lr:")[1]
-    xmp.apply_change(s, "restore:-1:5", "keep", [], [], 1)
-    assert s.rating == 3
-
-
-def test_fresh_sidecars_and_refusals(spark):
-    s = xmp.Sidecar.fresh("a&b.CR3")
-    assert s.rating is None and 'DerivedFrom="a&amp;b.CR3"' in s.text
-    one_line = '<rdf:Description rdf:about="" xmp:Rating="2"/>'
-    assert xmp.Sidecar(one_line).text == one_line[:-2] + ">\n  </rdf:Description>"
-    bad = ["", sidecar() * 2, sidecar(attrs="\n   xmp:Rating='3'"), sidecar("<xmp:Rating>3</xmp:Rating>\n", ""), sidecar("   <dc:subject>\n   <rdf:li lang='x'>a</rdf:li></dc:subject>\n")]
+    assert xmp.edit_text(plain, "keep", "keep", [], []) == (plain, 3, False)
+    assert xmp.edit_text(plain, "set:3", "keep", [], [])[0] == plain
+    assert xmp.edit_text(plain, "set:-1", "keep", [], [])[0] == plain.replace('"3"', '"-1"')
+    assert xmp.edit_text(plain, "restore:2:5", "keep", [], [])[0] == plain
+
+
+def test_lists_come_with_their_name_space_and_go_without_a_trace():
+    plain = sidecar()
+    lit = xmp.edit_text(plain, "keep", "set", [], [])[0]
+    assert listed(lit, xmp.LABELS) == ("2",) and lit.count("xmlns:darktable=") == 1 and "    keep  this\n" in lit
+    dark, rating, green = xmp.edit_text(lit, "keep", "restore:0", [], [])
+    assert (rating, green) == (3, True)
+    assert dark == plain.replace("rdf:Description rdf:about", 'rdf:Description\n    xmlns:darktable="http://darktable.sf.net/" rdf:about')
+
+
+def test_levels_of_tags_go_only_with_their_last_tag():
+    text_, *_ = xmp.edit_text(sidecar(), "keep", "keep", ["a|b", "a|c", "d"], [])
+    assert listed(text_, xmp.SUBJECT) == ("a", "b", "c", "d")
+    text_, *_ = xmp.edit_text(text_, "keep", "keep", ["a|e"], ["a|b", "d"])
+    assert listed(text_, xmp.HIERARCHY) == ("a|c", "a|e") and listed(text_, xmp.SUBJECT) == ("a", "c", "e")
+    text_, *_ = xmp.edit_text(text_, "keep", "keep", [], ["a|c", "a|e"])
+    assert text_.count("<rdf:li>") == 0 and "dc:subject>" not in text_
+
+
+def test_blank_sidecars_and_refusals(spark):
+    new, rating, green = xmp.edit_text(xmp.blank("x<y>.CR3"), "set:4", "set", ["t|u"], [], 2)
+    at = xmp.Layout.of(new)
+    assert (rating, green) == (2, False) and 'DerivedFrom="x&lt;y&gt;.CR3"' in new and xmp.State.of(new, at).rating == 4 and listed(new, xmp.SUBJECT) == ("t", "u")
+    alone = '<rdf:Description rdf:about="" xmp:Rating="2"/>'
+    assert xmp.edit_text(alone, "keep", "keep", [], [])[0] == alone
+    opened = xmp.edit_text(alone, "set:1", "set", [], [])[0]
+    assert xmp.State.of(opened, xmp.Layout.of(opened)).rating == 1 and listed(opened, xmp.LABELS) == ("2",) and opened.endswith("\n  </rdf:Description>")
+    bad = ["", sidecar() * 2, sidecar(attrs="\n   xmp:Rating='3'"), sidecar("<xmp:Rating>3</xmp:Rating>\n", ""), sidecar("   <dc:subject>\n   <rdf:li lang='x'>a</rdf:li></dc:subject>\n"), sidecar("   <dc:subject>\n"), sidecar(attrs='\n   xmp:Rating="many"'), "<rdf:Description >"]
     d = spark.createDataFrame([(str(i), t, "set:1", "keep", ["new"], []) for i, t in enumerate(bad)] + [("tag", sidecar(), "keep", "keep", ["a<b"], [])], "file string, text string, rating string, green string, add array<string>, remove array<string>")
     got = d.select("text", xmp.edit_sidecars()(*d.columns).alias("e")).collect()
     assert all(r.e.error and r.e.text == r.text for r in got)
 
 
+# ---- sending ----------------------------------------------------------------------------------------------------
+
+
+def judged_frames(spark, rows):
+    return spark.createDataFrame([("f", f, d, ["smile"] if d == "pick" else ["soft-eyes"]) for f, d in rows], "folder string, file string, decided string, reasons array<string>")
+
+
+def test_changes_are_sent_confirmed_and_taken_back(spark, tmp_path):
+    none = spark.createDataFrame([], "folder string, file string, rating_set int, rating_before int, green_before boolean, tags array<string>")
+    known = spark.createDataFrame([("f", "q1"), ("f", "q2")], "folder string, file string")
+    texts = spark.createDataFrame([("f", "s1", sidecar()), ("f", "s2", "broken")], "folder string, file string, text string")
+    frames = judged_frames(spark, [("q1", "pick"), ("q2", "reject"), ("s1", "reject"), ("s2", "reject"), ("s3", "pick"), ("idle", None)])
+    queue, side, receipts = (f"{tmp_path}/{x}" for x in ("queue", "side", "done"))
+    report, sent = flows.send(spark, frames, none, known, texts, queue, side)
+    assert [tuple(r) for r in report.collect()] == [("f", 2, 2, 1, 0)]
+    written = {r.file: r.text for r in editor.read_sidecars(spark, side).collect()}
+    assert written.keys() == {"s1", "s3"} and written["s1"].startswith(sidecar().split("note")[0][:40]) and listed(written["s3"], xmp.LABELS) == ("2",)
+    assert xmp.State.of(written["s1"], xmp.Layout.of(written["s1"])).rating == -1
+    assert {r[0] for r in state_of_sent(sent)} == {"s1", "s3"}
+
+    images = spark.createDataFrame([("f", "q1", 0, False, 0), ("f", "q2", 5, False, 0)], "folder string, file string, rating int, green boolean, duplicate int")
+    os.rename(queue, queue + ".applying")  # as if the editor had stopped halfway
+    assert editor.apply_queues(spark, queue, receipts, lambda c: export.apply_changes(images, c)) == 1
+    assert editor.apply_queues(spark, queue, receipts, lambda c: export.apply_changes(images, c)) == 0
+    kept = []
+    assert editor.consume_receipts(spark, receipts, lambda r: kept.append(export.record(sent, editor.parse_receipts(r).where("valid and status = 'ok'")).collect()))
+    assert not editor.consume_receipts(spark, receipts, lambda r: kept.append(None))
+    now = spark.createDataFrame(kept[0], none.schema)
+    assert [r[:3] for r in state_of_sent(now) if r[0] == "q2"] == [("q2", -1, 5)]
+
+    back = judged_frames(spark, [(f, None) for f in ("q1", "q2", "s1", "s2", "s3", "idle")])
+    texts = editor.read_sidecars(spark, side)
+    report, sent = flows.send(spark, back, now, known, spark.createDataFrame(texts.collect(), texts.schema), queue, side)
+    text_ = {r.file: r.text for r in editor.read_sidecars(spark, side).collect()}["s1"]
+    assert xmp.State.of(text_, xmp.Layout.of(text_)).rating == 3 and listed(text_, xmp.HIERARCHY) == ()
+    assert {r[0] for r in state_of_sent(sent)} == {"q1", "q2"}
+
+    withdrawn = sent.where("false")
+    flows.send(spark, back, withdrawn, known, texts.limit(0), queue, side)
+    assert not [n for n in os.listdir(queue) if n.startswith("name=")]
+
+
+def test_rolls_are_known_by_their_canonical_folder(spark):
+    rolls = spark.createDataFrame([(1, "/p//one/./"), (2, "/p/two")], "id long, roll string")
+    imgs = spark.createDataFrame([(1, "a"), (2, "b")], "film_id long, filename string")
+    asked = spark.createDataFrame([("f", "/p/one"), ("g", "/p/./two/"), ("h", "/p/o")], "folder string, roll string")
+    assert {(r.folder, r.file) for r in editor.imported(rolls, imgs, asked).collect()} == {("f", "a"), ("g", "b")}
+
+
+def test_sessions_take_assignments_and_crops(spark):
+    s = state.parse_sessions(spark.createDataFrame([("a", '{"people":{"x:0":7,"x:1":8},"splits":["q"]}')], "folder string, text string"))
+    faces = spark.createDataFrame([("a", "x", 0, 9), ("a", "x", 1, None), ("b", "y", 2, 0)], "folder string, file string, face_idx int, person_id long")
+    got = state.assign_faces(s, faces)
+    assert {(r.folder, r.key, r.person_id) for r in state.overrides(got).collect()} == {("a", "x:0", 9), ("b", "y:2", 0)}
+    assert state.edits(got, "splits").count() == 1
+    crops_ = spark.createDataFrame([("a", "x", [((0.0, 0.0, 1.0, 0.5), (3, 2))])], "folder string, file string, crops array<struct<crop:struct<x:double,y:double,w:double,h:double>,ratio:struct<n:int,d:int>>>")
+    once = state.set_crops(got, crops_)
+    assert state.kept_crops(once).select("file", "rn").collect() == [("x", 3)]
+    assert state.kept_crops(state.set_crops(once, crops_.withColumn("crops", F.col("crops").cast("array<struct<crop:struct<x:double,y:double,w:double,h:double>,ratio:struct<n:int,d:int>>>")).selectExpr("folder", "file", "slice(crops, 1, 0) as crops"))).count() == 0
+
+
+def test_scenes_and_vectors_are_read_through_their_caches(spark):
+    files = spark.createDataFrame([("f", "a", 1, 1), ("f", "b", 2, 2)], "folder string, file string, size long, mtime long")
+    saved = files.where("file = 'a'").withColumn("made", F.lit("before")).unionByName(files.where("file = 'b'").withColumns({"mtime": F.lit(9).cast("long"), "made": F.lit("before")}))
+    got = flows.scenes(saved, files, lambda d: d.withColumn("made", F.lit("anew")))
+    assert {(r.file, r.made) for r in got.collect()} == {("a", "before"), ("b", "anew")}
+    shots_ = spark.createDataFrame([("f", "a", True, [1]), ("f", "b", False, [1]), ("f", "c", False, [])], "folder string, file string, embedded boolean, faces array<int>")
+    exif_ = spark.createDataFrame([("f", "b", 6), ("g", "b", 3)], "folder string, file string, orientation int")
+    seen = flows.backfill(shots_, exif_, lambda d: d.withColumns({"embedded": F.lit(True), "faces": F.array("turned")}))
+    assert {(r.file, r.embedded, tuple(r.faces)) for r in seen.collect()} == {("a", True, (1,)), ("b", True, (6,)), ("c", False, ())}
+
+
 # ---- state, files, times ----------------------------------------------------------------------------------------
 
 
@@ -357,54 +476,6 @@ def test_suppression_equals_brute_force(spark):
     assert got == want
 
 
-def scene(seed=0, face_box=(0.4, 0.25, 0.12, 0.2), yaw=0.0, cfg=ReframeConfig(step=0.03, sizes=5), faces=1, bright=False):
-    r = np.random.default_rng(seed)
-    cols, rows = 64, 43
-    x, y, w, h = face_box
-    f = [{"bbox": list(face_box), "eyes": [[x + w * 0.3, y + h * 0.4], [x + w * 0.7, y + h * 0.4]], "chin": [x + w / 2, y + h], "forehead": [x + w / 2, y], "yaw": yaw}]
-    f += [{**f[0], "bbox": [0.8, 0.3, 0.08, 0.1]}] * (faces - 1)
-    sharp = r.random((rows, cols)) * 0.2
-    sharp[int(y * rows) : int((y + h) * rows), int(x * cols) : int((x + w) * cols)] = 2.0
-    luma = np.full((rows, cols), 0.3)
-    if bright:
-        luma[: rows // 10, : cols // 8] = 1.0
-    return crops.Scene(6000, 4000, f if faces else [], cols, rows, sharp, luma, r.random((rows, cols)) * 0.1, cfg)
-
-
-def test_suggestions_are_diverse_and_keep_the_rules():
-    for yaw, faces in ((0.0, 1), (0.3, 2), (-0.3, 1)):
-        s = scene(yaw=yaw, faces=faces)
-        got = s.suggest()
-        full = got.pop()
-        assert full["notes"][0] == "original" and full["ratio"] == (3, 2) and list(full["box"]) == [0, 0, 1, 1]
-        assert 1 <= len(got) <= 5 and [g["score"] for g in got] == sorted((g["score"] for g in got), reverse=True)
-        assert all(sum(g["ratio"] == r["ratio"] for g in got) <= 2 for r in got)
-        assert all(crops.crop_iou(a["box"], b["box"]) < 0.5 for a, b in itertools.combinations(got, 2))
-        t = s.terms(np.stack([g["box"] for g in got]))
-        assert t["fine"].all() and (t["cut"] == 0).all()
-        for g in got:
-            x, _, w, _ = g["box"]
-            share = (0.46 - x) / w
-            assert share < 0.5 if yaw > 0.1 else share > 0.5 if yaw < -0.1 else 0.28 < share < 0.72
-            assert max(g["box"][2] * 6000, g["box"][3] * 4000) >= 2559
-
-
-def test_without_a_face_only_the_frame_is_left():
-    got = scene(faces=0).suggest()
-    assert len(got) == 1 and got[0]["notes"][0] == "original"
-
-
-def test_bright_edges_cost():
-    box = np.array([[0.0, 0.0, 0.8, 0.8]])
-    assert scene(bright=True).terms(box)["bright"][0] > scene().terms(box)["bright"][0] == 0
-
-
-def test_prefix_sums_and_ratios():
-    s = crops.Scene(4, 3, [], 4, 3, np.arange(12), np.arange(12), np.arange(12))
-    assert s._sum("sharp", np.array([[0, 0, 1, 1], [0.25, 0, 0.5, 1 / 3], [0.5, 0.5, 0.5, 1]], float)).round(9).tolist() == [66, 1, 0]
-    assert [crops.closest_ratio(*x) for x in ((6000, 4000), (4000, 6000), (1920, 1080), (5000, 5000), (6720, 4480))] == [(3, 2), (2, 3), (16, 9), (1, 1), (3, 2)]
-
-
 def test_blur_lowers_sharpness_and_darkening_keeps_it():
     r = np.random.default_rng(5)
     v = (r.random((80, 120)) > 0.5) * 200.0
