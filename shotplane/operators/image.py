@@ -34,11 +34,12 @@ def levels_of(cells: DataFrame, keys: tuple[str, ...] = ("image",)) -> DataFrame
 
 
 def gradient(cells: DataFrame, keys: tuple[str, ...] = ("image",)) -> DataFrame:
-    """Length of the central difference at each cell, with edge cells standing for their missing neighbours."""
+    """Half the sum of both central differences at each cell, whole and up to 255; edge cells stand for their missing
+    neighbours."""
     row, col = Window.partitionBy(*keys, "row").orderBy("col"), Window.partitionBy(*keys, "col").orderBy("row")
     side = lambda f, w: F.coalesce(f("v").over(w), F.col("v"))
-    dx, dy = (side(F.lead, row) - side(F.lag, row)) / 2, (side(F.lead, col) - side(F.lag, col)) / 2
-    return cells.withColumn("grad", F.sqrt(dx * dx + dy * dy))
+    dx, dy = side(F.lead, row) - side(F.lag, row), side(F.lead, col) - side(F.lag, col)
+    return cells.withColumn("grad", F.least(F.floor((F.abs(dx) + F.abs(dy)) / 2).cast("double"), F.lit(255.0)))
 
 
 def tile_grid(frames: DataFrame, tiles: int = TILES) -> DataFrame:
@@ -72,6 +73,59 @@ def np_sharpness(v: np.ndarray) -> float:
     return float(np.sqrt((lap**2).mean()) / (v.std() + 4))
 
 
+def np_gradient(v: np.ndarray) -> np.ndarray:
+    """gradient() of an array."""
+    p = np.pad(v.astype(np.float64), 1, mode="edge")
+    return np.minimum((np.abs(p[1:-1, 2:] - p[1:-1, :-2]) + np.abs(p[2:, 1:-1] - p[:-2, 1:-1])) // 2, 255.0)
+
+
+def np_grey(v: np.ndarray) -> np.ndarray:
+    """Whole grey levels of an image by the weights of its colours."""
+    return np.round(v.astype(np.float64) @ [0.2126, 0.7152, 0.0722]) if v.ndim == 3 else v.astype(np.float64)
+
+
+def np_tiles(v: np.ndarray, tiles: int = TILES) -> dict[str, np.ndarray]:
+    """Tiles of an image, `tiles` along its long side, as rows by columns: sharp (0 where a tile is flat) and luma (0 to 1) of
+    a copy of half its size, and edge (0 to 1), the mean gradient of one of a quarter."""
+    h, w = v.shape[:2]
+    cols, rows = (max(int(np.floor(n * tiles / max(h, w) + 0.5)), 1) for n in (w, h))
+    half, quarter = (np.round(np_resize(np_grey(v), max(h // k, 1), max(w // k, 1))) for k in (2, 4))
+    grad = np_gradient(quarter)
+    out = {k: np.zeros((rows, cols)) for k in ("sharp", "luma", "edge")}
+    spans = lambda n, size: [(k * size // n, (k + 1) * size // n) for k in range(n)]
+    for r, ((y0, y1), (v0, v1)) in enumerate(zip(spans(rows, half.shape[0]), spans(rows, grad.shape[0]))):
+        for c, ((x0, x1), (u0, u1)) in enumerate(zip(spans(cols, half.shape[1]), spans(cols, grad.shape[1]))):
+            t, g = half[y0:y1, x0:x1], grad[v0:v1, u0:u1]
+            out["sharp"][r, c] = np_sharpness(t) if t.size and t.std() > FLAT else 0.0
+            out["luma"][r, c] = t.mean() / 255 if t.size else 0.0
+            out["edge"][r, c] = g.mean() / 255 if g.size else 0.0
+    return out
+
+
+def np_grey_crop(v: np.ndarray, box: tuple[float, float, float, float], scale: float) -> np.ndarray:
+    """The grey part of an image under a box (x, y, w, h in pixels, held to the image), scaled but never enlarged."""
+    h, w = v.shape[:2]
+    x0, y0 = np.clip(box[0], 0, w - 1), np.clip(box[1], 0, h - 1)
+    x1, y1 = np.clip(box[0] + box[2], x0 + 1, w), np.clip(box[1] + box[3], y0 + 1, h)
+    part = np_grey(v[int(y0) : int(y0) + int(y1 - y0), int(x0) : int(x0) + int(x1 - x0)])
+    sides = (max(int(np.floor(n * scale + 0.5)), 1) for n in (y1 - y0, x1 - x0))
+    return np_resize(part, *sides) if scale < 1 else part
+
+
+def tiles_column(height: Column, width: Column, pixels: Column, tiles: int = TILES) -> Column:
+    """np_tiles of row-major grey pixels: cols, rows, and sharp, luma and edge as row-major arrays."""
+
+    @F.pandas_udf("cols int, rows int, sharp array<double>, luma array<double>, edge array<double>")
+    def measure(h: pd.Series, w: pd.Series, v: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b, x in zip(h, w, v):
+            t = np_tiles(np.asarray(x, float).reshape(int(a), int(b)), tiles)
+            out.append((t["sharp"].shape[1], t["sharp"].shape[0], *(t[k].ravel().tolist() for k in ("sharp", "luma", "edge"))))
+        return pd.DataFrame(out, columns=["cols", "rows", "sharp", "luma", "edge"])
+
+    return measure(height, width, pixels)
+
+
 def np_resize(v: np.ndarray, height: int, width: int) -> np.ndarray:
     """Resizes by area on the way down and by lines on the way up."""
     for axis, n in ((0, height), (1, width)):

@@ -316,7 +316,7 @@ ENTRIES = {
     "landmark_regions": (landmark_regions, f"with b as ({duck('boxes')}) select image, id, round(greatest(w, h) * 1.5e0, 5) as size, round(atan2(0.02e0 * h, 0.6e0 * w), 6) as angle, round(x + w / 2, 5) as ux, round(y + h / 2, 5) as uy, round((0.05e0 * w * 0.6e0 * w + 0.19e0 * h * 0.02e0 * h) / greatest(0.36e0 * w * w + 0.0004e0 * h * h, 1), 6) as yaw, round(w / 1200, 6) as fw, round(greatest(0.2e0 * w, 1), 5) as eye, x < -0.03e0 * w or y < -0.03e0 * w or x + w > 1000 + 0.03e0 * w or y + h > 800 + 0.03e0 * w as cut, round((0.4e0 * w + 1.8e0 * greatest(0.2e0 * w, 1)) * 1.3e0, 5) as strip from b"),
     "laplacian_sharpness": (laplacian_sharpness, f"with {CELLS}, {NEAR}, p as (select image, avg((l + r + u + d - 4 * v) * (l + r + u + d - 4 * v)) as q, stddev_pop(v) as sd from n group by 1) select image, round(sqrt(q) / (sd + 4), 5) as sharpness from p"),
     "grey_levels": (grey_levels, f"with {CELLS} select image, round(avg(v), 5) as luma, round(count(*) filter (where v >= 250) / cast(count(*) as double), 6) as clip, round(stddev_pop(v), 5) as spread from v group by 1"),
-    "edge_gradient": (edge_gradient, f"with {CELLS}, {NEAR}, z as (select image, sqrt(power((coalesce(r, v) - coalesce(l, v)) / 2, 2) + power((coalesce(d, v) - coalesce(u, v)) / 2, 2)) as g from n) select image, round(sum(g), 4) as total, round(max(g), 5) as most from z group by 1"),
+    "edge_gradient": (edge_gradient, f"with {CELLS}, {NEAR}, z as (select image, least(floor((abs(coalesce(r, v) - coalesce(l, v)) + abs(coalesce(d, v) - coalesce(u, v))) / 2), 255) as g from n) select image, round(sum(g), 4) as total, round(max(g), 5) as most from z group by 1"),
     "tile_percentile": (tile_percentile, f"with {S}, o as (select scene, sharp, row_number() over (partition by scene order by sharp) - 1 as i, count(*) over (partition by scene) as n from t where luma * 10 > 6), p as (select scene, sharp from o where i = floor(n * 0.9e0)) select s0.scene, round(coalesce(p.sharp, 0), 6) as frame_sharp, round(coalesce(p.sharp, 0), 6) as by_array from s0 left join p on s0.scene = p.scene"),
     "tile_spans": (tile_spans, f"with s as ({duck('scenes')}), n as (select *, greatest(round(width * 64 / cast(greatest(width, height) as double)), 1) as cols, greatest(round(height * 64 / cast(greatest(width, height) as double)), 1) as rows from s), i as (select unnest(range(0, 64)) as k) select scene, r.k as row, c.k as col, cast(floor(c.k * width / cols) as int) as x0, cast(floor(r.k * height / rows) as int) as y0, cast(floor((c.k + 1) * width / cols) as int) as x1, cast(floor((r.k + 1) * height / rows) as int) as y1 from n join i r on r.k < rows join i c on c.k < cols"),
 }

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotplane import schema
-from shotplane.config import CullConfig, DetectConfig, PeopleConfig, ReframeConfig
+from shotplane.config import CullConfig, DetectConfig, PeopleConfig
 from shotplane.functions import exif, hashing, text, vectors, xmp
 from shotplane.operators import calibrate, crops, detect, export, group, image, judge, people, view
 from shotplane.plans import flows
@@ -514,6 +514,32 @@ def decode(data):
     return np.frombuffer(data, np.uint8).reshape(20, 20).astype(float)
 
 
+def test_tiles_and_crops_of_pixels(spark):
+    r = np.random.default_rng(12)
+    v = np.round(r.random((48, 64)) * 255)
+    v[:24, :32] = 40.0
+    got = image.np_tiles(v, 8)
+    assert got["sharp"].shape == (6, 8)
+    half, quarter = (np.round(image.np_resize(v, 48 // k, 64 // k)) for k in (2, 4))
+    for row, col in ((0, 0), (5, 7), (2, 5)):
+        t = half[row * 4 : row * 4 + 4, col * 4 : col * 4 + 4]
+        assert got["luma"][row, col] == pytest.approx(t.mean() / 255)
+        total = 0
+        for y in (2 * row, 2 * row + 1):
+            for x in (2 * col, 2 * col + 1):
+                at = lambda j, i: quarter[min(max(j, 0), 11), min(max(i, 0), 15)]
+                total += min((abs(at(y, x + 1) - at(y, x - 1)) + abs(at(y + 1, x) - at(y - 1, x))) // 2, 255)
+        assert got["edge"][row, col] == pytest.approx(total / 4 / 255)
+    assert got["sharp"][0, 0] == 0 and image.np_tiles(v, 2)["sharp"][1, 1] > 0
+    d = spark.createDataFrame([(48, 64, v.ravel().tolist())], "h int, w int, v array<double>").select(image.tiles_column(F.col("h"), F.col("w"), F.col("v"), 8).alias("t")).first().t
+    assert (d.cols, d.rows) == (8, 6) and d.luma == pytest.approx(got["luma"].ravel().tolist())
+    crop = image.np_grey_crop(v, (-5.0, 10.0, 25.0, 100.0), 0.5)
+    assert crop.shape == (19, 10) and image.np_grey_crop(v, (60.0, 40.0, 30.0, 30.0), 3.0).shape == (8, 4)
+    colour = np.zeros((4, 4, 3))
+    colour[..., 1] = 100
+    assert (image.np_grey(colour) == 72).all()
+
+
 def test_a_failed_file_is_a_row(spark):
     d = spark.createDataFrame([("f", "a", bytes(range(200)) * 2), ("f", "b", b"bad")], "folder string, file string, content binary")
     got = {r.file: r for r in image.analyse(d, Fake, decode).collect()}
