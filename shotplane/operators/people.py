@@ -32,7 +32,7 @@ def wide_enough(faces: DataFrame, cfg: PeopleConfig = PeopleConfig()) -> DataFra
 
 def sheet(members: DataFrame, columns: int = 16) -> DataFrame:
     """The first faces of each person in order, for a row of a contact sheet: a limit that is the sheet's width."""
-    w = Window.partitionBy("folder", "person_id").orderBy("ord", "face_idx")
+    w = Window.partitionBy("folder", "person_id").orderBy("ord", "file", "face_idx")
     return members.withColumn("column", F.row_number().over(w)).where(F.col("column") <= columns)
 
 
@@ -126,7 +126,7 @@ def average_linkage(vectors: np.ndarray, threshold: float) -> list[list[int]]:
 
 
 def cluster(core: DataFrame, threshold: float) -> DataFrame:
-    """Average-linkage clusters of each folder's core faces (in capture order, `ord`): FACE_KEY and cluster, from 0.
+    """Average-linkage clusters of each folder's core faces (in capture order: `ord`, file, face): FACE_KEY and cluster, from 0.
 
     Clusters can only merge over a pair that is over the threshold itself. So a folder falls apart exactly into the
     components of such pairs, and each component, not each folder, is clustered in one task, which holds one vector a face
@@ -140,7 +140,7 @@ def cluster(core: DataFrame, threshold: float) -> DataFrame:
     schema = T.StructType([*(core.schema[k] for k in FACE_KEY), core.schema["ord"], T.StructField("part", T.LongType()), T.StructField("local", T.IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "face_idx"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["ord", "file", "face_idx"], kind="stable").reset_index(drop=True)
         label = np.zeros(len(pdf), np.int32)
         for k, m in enumerate(average_linkage(np.stack(pdf["embed"].to_numpy()), threshold)):
             label[m] = k
@@ -149,7 +149,7 @@ def cluster(core: DataFrame, threshold: float) -> DataFrame:
     many = parts.where("component is not null").groupBy("component").applyInPandas(run, schema)
     alone = parts.where("component is null").select(*FACE_KEY, "ord", F.col("node").alias("part"), F.lit(-1).alias("local"))
     labels = many.unionByName(alone)
-    first = F.min(F.struct("ord", "face_idx", "file"))
+    first = F.min(F.struct("ord", "file", "face_idx"))
     sizes = labels.groupBy("folder", "part", "local").agg(F.count("*").alias("size"), first.alias("first"))
     place = F.row_number().over(Window.partitionBy("folder").orderBy(F.desc("size"), "first")) - 1
     return labels.join(sizes.withColumn("cluster", place).select("folder", "part", "local", "cluster"), ["folder", "part", "local"]).select(*FACE_KEY, "cluster")
@@ -219,7 +219,7 @@ def apply_overrides(members: DataFrame, overrides: DataFrame, faces: DataFrame)
 def people(faces: DataFrame, library: DataFrame, overrides: DataFrame, cfg: PeopleConfig = PeopleConfig()) -> DataFrame:
     """Persons of each folder with their faces: folder, person_id, name, n_faces, faces, place.
 
-    faces: FACE_KEY, ord (capture order), embed, embed_norm, presence. Core faces are clustered; a cluster gets a library
+    faces: FACE_KEY, ord (time, or any number that gives the capture order with the file), embed, embed_norm, presence. Core faces are clustered; a cluster gets a library
     person's id, or unnamed_base plus its rank among the unnamed of two faces or more. Of two clusters recognised as one
     person the later gives the centroid to which weak faces are attached. Named people come first, then by faces.
     """
@@ -235,7 +235,7 @@ def people(faces: DataFrame, library: DataFrame, overrides: DataFrame, cfg: Peop
     members = clear.unionByName(attach(parts.where("part = 'weak'"), last, cfg.attach))
     fixed = apply_overrides(members, overrides, faces)
     named = fixed.join(library.select(F.col("id").alias("person_id"), "name"), "person_id", "left")
-    rows = named.join(faces.select(*FACE_KEY, "ord"), FACE_KEY).groupBy("folder", "person_id", "name").agg(F.count("*").alias("n_faces"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "face_idx", "file"))), lambda s: F.concat_ws(":", s["file"], s["face_idx"])).alias("faces"))
+    rows = named.join(faces.select(*FACE_KEY, "ord"), FACE_KEY).groupBy("folder", "person_id", "name").agg(F.count("*").alias("n_faces"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "file", "face_idx"))), lambda s: F.concat_ws(":", s["file"], s["face_idx"])).alias("faces"))
     order = Window.partitionBy("folder").orderBy(F.col("name").isNull(), F.desc("n_faces"), "person_id")
     return rows.withColumn("place", F.row_number().over(order))
 
@@ -243,7 +243,7 @@ def people(faces: DataFrame, library: DataFrame, overrides: DataFrame, cfg: Peop
 def cards(members: DataFrame) -> DataFrame:
     """For each person of a folder: distinct photos, faces and the clearest face (greatest norm, the last in order among
     equals). members: FACE_KEY, ord, person_id, embed_norm."""
-    best = F.max(F.struct("embed_norm", "ord", "face_idx", "file"))
+    best = F.max(F.struct("embed_norm", "ord", "file", "face_idx"))
     return members.groupBy("folder", "person_id").agg(F.count_distinct("file").alias("photos"), F.count("*").alias("n_faces"), best.alias("b")).select("folder", "person_id", "photos", "n_faces", F.col("b.file").alias("best_file"), F.col("b.face_idx").alias("best_face"))
 
 

@@ -33,8 +33,7 @@ def judged(shots: DataFrame, sessions: DataFrame, cfg: CullConfig = CullConfig()
 
 def named_people(shots: DataFrame, sessions: DataFrame, library: DataFrame, cfg: PeopleConfig = PeopleConfig()) -> DataFrame:
     """People of each folder, from frames in capture order."""
-    order = shots.withColumn("ord", F.row_number().over(group.in_order()))
-    faces = order.select("folder", "file", "ord", F.posexplode("faces").alias("face_idx", "f")).select("folder", "file", "face_idx", "ord", "f.embed", "f.embed_norm", "f.presence")
+    faces = shots.select("folder", "file", F.col("time").alias("ord"), F.posexplode("faces").alias("face_idx", "f")).select("folder", "file", "face_idx", "ord", "f.embed", "f.embed_norm", "f.presence")
     return people.numbered(people.people(faces, library, state.overrides(sessions), cfg))
 
 

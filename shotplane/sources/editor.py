@@ -30,6 +30,19 @@ def imported(rolls: DataFrame, images: DataFrame, folders: DataFrame) -> DataFra
     return folders.withColumn("_roll", canonical(F.col("roll"))).join(rolls, "_roll").join(images, F.col("id") == F.col("film_id")).select("folder", "roll", F.col("filename").alias("file"))
 
 
+def locations(home: str, config_home: str | None = None, cache_home: str | None = None, tool: str = "shotplane") -> dict[str, str]:
+    """Where an editor keeps its library and settings, and where its queues are: by a user's home and the two folders that
+    may stand for `.config` and `.cache`. The names are fixed values."""
+    config = f"{config_home or home + '/.config'}/darktable"
+    return {"library": f"{config}/library.db", "settings": f"{config}/darktablerc", "queue": f"{cache_home or home + '/.cache'}/{tool}/darktable"}
+
+
+def read_settings(spark: SparkSession, path: str) -> int:
+    """The editor's rating on import by its settings file; 1 without the file."""
+    lines = spark.read.text(path) if exists(spark, path) else spark.createDataFrame([], "value string")
+    return default_rating(lines)
+
+
 def default_rating(config: DataFrame, key: str = "ui_last/import_initial_rating", otherwise: int = 1) -> int:
     """The rating that the editor gives on import, from its configuration's lines (value)."""
     row = config.where(F.col("value").startswith(f"{key}=")).select(F.trim(F.substring_index("value", "=", -1)).try_cast("int").alias("r")).first()

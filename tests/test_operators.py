@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shotplane import schema
 from shotplane.config import CullConfig, DetectConfig, PeopleConfig
 from shotplane.functions import exif, hashing, text, vectors, xmp
-from shotplane.operators import calibrate, crops, detect, export, group, image, judge, people, view
+from shotplane.operators import calibrate, detect, export, graph, group, image, judge, people, view
 from shotplane.plans import flows
 from shotplane.sources import editor, listing, state
 
@@ -357,6 +357,28 @@ def test_changes_are_sent_confirmed_and_taken_back(spark, tmp_path):
     assert not [n for n in os.listdir(queue) if n.startswith("name=")]
 
 
+def test_an_editors_places_and_settings(spark, tmp_path):
+    at = editor.locations("/h", cache_home="/c")
+    assert at == {"library": "/h/.config/darktable/library.db", "settings": "/h/.config/darktable/darktablerc", "queue": "/c/shotplane/darktable"}
+    (tmp_path / "darktablerc").write_text("a=1\nui_last/import_initial_rating= 3\n")
+    assert editor.read_settings(spark, f"{tmp_path}/darktablerc") == 3 and editor.read_settings(spark, f"{tmp_path}/none") == 1
+
+
+def test_components_by_rounds_equal_those_of_one_task(spark, monkeypatch):
+    r = random.Random(7)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000, 1000 + k) for k in range(1, 60)] + [(k, k + 1) for k in range(2000, 2040)]
+    d = spark.createDataFrame([*links, (5, 5), (None, 3)], "a long, b long")
+    one = {tuple(x) for x in graph.components(d).collect()}
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert {tuple(x) for x in graph.components(d).collect()} == one
+    root = {x: x for pair in links for x in pair}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert one == {(a, c) for a, c in root.items() if any(a in p and p[0] != p[1] for p in links)}
+    assert graph.components(d.limit(0)).count() == 0
+
+
 def test_rolls_are_known_by_their_canonical_folder(spark):
     rolls = spark.createDataFrame([(1, "/p//one/./"), (2, "/p/two")], "id long, roll string")
     imgs = spark.createDataFrame([(1, "a"), (2, "b")], "film_id long, filename string")
