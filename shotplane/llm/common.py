@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotplane.operators.graph import blocks, components, cut, discard, scratch
+from shotplane.operators.graph import blocks, components, cut, discard, scope, scratch
 
-__all__ = ["blocks", "components", "cut", "discard", "id_field", "key_filter", "map_batches", "map_groups", "passing", "scratch", "spread", "table", "tidy", "unused"]
+__all__ = ["blocks", "components", "cut", "discard", "id_field", "key_filter", "map_batches", "map_groups", "passing", "scope", "scratch", "spread", "table", "tidy", "unused", "whole_ids"]
 
 #: Rows that a Python function gets at once. The bytes of a batch that reaches a worker are bounded by Spark itself
 #: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set).
@@ -67,6 +67,12 @@ def passing(df: DataFrame, h: Column, words: DataFrame, inside: bool = True) ->
     return df.join(held, hit, "left_semi" if inside else "left_anti")
 
 
+def whole_ids(df: DataFrame, name: str) -> None:
+    """Refuses ids that are no whole numbers where a component is named by its smallest id."""
+    if df.schema[name].dataType not in (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()):
+        raise TypeError(f"{name} must be a whole number, not {df.schema[name].dataType.simpleString()}")
+
+
 def tidy() -> None:
     """Gives memory that a task has freed back to the system: workers live on, and their executor's bound is shared."""
     pa.default_memory_pool().release_unused()

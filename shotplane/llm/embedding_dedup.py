@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotplane.llm.common import blocks, components, cut, map_batches, map_groups
+from shotplane.llm.common import blocks, components, cut, map_batches, map_groups, whole_ids
 from shotplane.llm.minhash import U64, _spread, mix
 
 #: Width of a projection's cell. Unit vectors at cosine 0.95 are 0.316 apart and share a cell with probability NEAR,
@@ -61,7 +61,7 @@ def unit(v: np.ndarray) -> np.ndarray:
 def embedding_links(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Links vectors whose cosine, in double precision, is at least the threshold, and groups them.
 
-    Returns a row for each row of vectors (vec_id, embedding): vec_id, n_links (other vectors linked directly),
+    Returns a row for each row of vectors (vec_id, a whole number, and embedding): vec_id, n_links (other vectors linked directly),
     component_id (the smallest vec_id reachable by links), kept (vec_id equals it). Vectors that are null, empty, zero
     or hold null or non-finite components link with nothing, nor do vectors of different lengths. Rows without an id
     link with nothing, have no component and are kept; rows that share an id are one item as far as links go. Other
@@ -72,6 +72,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     counted only in the first of the buckets that it shares, and what leaves a task is a count and a root for each of
     its vectors, never its pairs.
     """
+    whole_ids(vectors, "vec_id")
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     kind, width = ("array<float>", np.float32) if single else ("array<double>", np.float64)
     rows = vectors.select("vec_id", F.col("embedding").cast(kind).alias("embedding"))
