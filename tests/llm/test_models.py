@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -60,17 +61,22 @@ def test_languages_of_held_out_rows(spark):
     assert {r.lang_pred for r in language.identify(d, language.learn(empty)).collect()} == {"und"}
 
 
-def test_prediction_equals_brute_force():
-    rows = corpus(30)
-    train = {}
-    for _, t, lang in rows[:20]:
-        train.setdefault(lang, []).append(language.grams(t))
-    ranks = {k: language.ranked(np.concatenate(v), 50).tolist() for k, v in train.items()}
-    p = language.Profiles(ranks, 50)
-    for _, t, _ in rows[20:]:
-        top = language.ranked(language.grams(t), 50).tolist()
-        dist = {k: sum(abs(r.index(c) - i) if c in r else 50 for i, c in enumerate(top)) for k, r in ranks.items()}
-        assert p.predict(t)[0] == min(sorted(dist), key=dist.get)
+def test_prediction_equals_brute_force(spark):
+    """Profiles counted and distances summed by hand, from n-grams as strings."""
+    rows = corpus(60)
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(d, language.learn(d, size=50)).collect()}
+    code = lambda g: (ord(g) if len(g) == 1 else (0 if g[0] == " " else ord(g[0])) << 21 | (0 if g[1] == " " else ord(g[1])) | 1 << 62) if len(g) < 3 else ((0 if g[0] == " " else ord(g[0])) << 21 | ord(g[1])) << 21 | (0 if g[2] == " " else ord(g[2]))
+    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code(x[0])))[:50]]
+    count: dict[str, Counter] = {}
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            count.setdefault(lang, Counter()).update(brute_predict(t, None, 0)[0])
+    ranks = {k: {g: n for n, g in enumerate(top(c))} for k, c in count.items()}
+    for i, t, _ in rows:
+        mine = top(brute_predict(t, None, 0)[0])
+        dist = {k: sum(abs(r[g] - n) if g in r else 50 for n, g in enumerate(mine)) for k, r in ranks.items()}
+        assert got[i].lang_pred == min(sorted(dist), key=dist.get)
 
 
 def toxic_corpus(spark, n=600):
@@ -90,14 +96,15 @@ def toxic_corpus(spark, n=600):
 def test_toxicity_of_held_out_rows(spark):
     docs, labels, truth = toxic_corpus(spark)
     more = spark.createDataFrame([(9000, None), (9001, ""), (None, "blarf grunk")], "doc_id long, text string").selectExpr("doc_id", "text", "'t' label", "1D score")
-    model = toxicity.learn(docs, labels.union(spark.createDataFrame([(None, 1), (5, None), (7777, 1)], labels.schema)))
-    got = {r.doc_id: r for r in toxicity.score(docs.union(more), model).collect()}
+    docs, labels = docs.union(more), labels.union(spark.createDataFrame([(None, 1), (5, None), (7777, 1)], labels.schema))
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
     held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
     assert held and all(got[i].held_out == (i in held) for i in truth)
     assert sum(got[i].predicted == truth[i] for i in held) >= 0.97 * len(held)
     assert got[9000].score == got[9001].score < 0.5 and got[None].predicted == 1
     assert all(r.predicted == (r.score >= 0.5) for r in got.values())
-    kept = toxicity.drop_toxic(docs.union(more), model)
+    model, _ = toxicity.learn(docs, labels)
+    kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted == 0}
 
@@ -105,16 +112,62 @@ def test_toxicity_of_held_out_rows(spark):
 def test_toxicity_without_labels(spark):
     docs, labels, _ = toxic_corpus(spark, 40)
     for some in (labels.limit(0), labels.where("toxic = 0")):
-        assert {r.predicted for r in toxicity.score(docs, toxicity.learn(docs, some)).collect()} == {0}
-    assert toxicity.score(docs.limit(0), toxicity.learn(docs.limit(0), labels)).count() == 0
-
-
-def test_label_model_shares_the_weight_of_equal_voters():
+        assert {r.predicted for r in toxicity.classify(docs, some).collect()} == {0}
+    assert toxicity.classify(docs.limit(0), labels).count() == 0
+
+
+def slow_label_model(votes, prior, belief, rounds):
+    """Expectation maximisation document by document, and residuals as a matrix."""
+    n, m = votes.shape
+    sure, share = belief.copy(), np.ones(m)
+    for r in range(rounds):
+        p = np.zeros(n)
+        for i in range(n):
+            z = np.log(prior / (1 - prior))
+            for j in np.flatnonzero(votes[i]):
+                z += share[j] * (np.log(sure[j] / (1 - sure[j])) - np.log(prior / (1 - prior)))
+            p[i] = 1 / (1 + np.exp(-z))
+        fires = votes.sum(0)
+        if r in (0, rounds // 2):
+            hit, miss = (p @ votes) / p.sum(), ((1 - p) @ votes) / (1 - p).sum()
+            rest = votes - np.outer(p, hit) - np.outer(1 - p, miss)
+            cov = rest.T @ rest / n
+            sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+            rho = np.clip(cov / np.outer(sd, sd), 0, 1)
+            np.fill_diagonal(rho, 1)
+            rho[rho < toxicity.TIED] = 0
+            share = 1 / rho.sum(0)
+        sure = np.clip((p @ votes + toxicity.BELIEF_DOCS * belief) / (fires + toxicity.BELIEF_DOCS), 1e-3, 1 - 1e-3)
+    return sure, share
+
+
+def test_label_model_equals_brute_force_and_ties_equal_voters(spark):
     r = np.random.default_rng(0)
-    y = (r.random(2000) < 0.3).astype(float)
-    one = ((r.random(2000) < 0.6) & (y == 1)).astype(np.float32)
-    two = ((r.random(2000) < 0.6) & (y == 1)).astype(np.float32)
-    noisy = np.where(r.random(2000) < 0.03, 1 - y, y)
-    p, known = toxicity.label_model(np.column_stack([one, one, one, two]), noisy)
-    assert known["share"][0] < 0.5 < known["share"][3]
-    assert ((p >= 0.5) == y).mean() > 0.97
+    y = r.random(900) < 0.25
+    one = (r.random(900) < 0.6) & y
+    cols = [one, one, (r.random(900) < 0.97) & one, (r.random(900) < 0.5) & y, (r.random(900) < 0.05) | (y & (r.random(900) < 0.4)), ~y & (r.random(900) < 0.3)]
+    votes = np.column_stack(cols).astype(float)
+    belief = np.array([0.8] * 5 + [0.1])
+    sets = Counter(tuple(np.flatnonzero(v).tolist()) for v in votes)
+    rows = spark.createDataFrame([(list(k), c) for k, c in sets.items() if k], "at array<int>, n long").repartition(5)
+    known = toxicity.label_model(rows, len(votes), 0.25, belief)
+    sure, share = slow_label_model(votes, 0.25, belief, toxicity.ROUNDS)
+    assert np.allclose(known["sure"], sure) and np.allclose(known["share"], share)
+    assert known["share"][:3].max() < 0.4 and known["share"][3] == 1 and known["sure"][3] > 0.9 and known["sure"][5] < 0.25
+    p = toxicity.posterior([np.flatnonzero(v) for v in votes], 0.25, known["sure"], known["share"])
+    assert ((p >= 0.5) == y)[votes[:, :4].any(1)].mean() > 0.97
+    assert np.allclose(p[~votes.any(1)], 0.25)
+
+
+def test_scores_equal_the_definition(spark):
+    docs, labels, _ = toxic_corpus(spark, 200)
+    model, marked = toxicity.learn(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    words = {i: set(re.findall(r"[^\W\d_]+", t.lower())) for i, t in texts.items()}
+    places = {f: len(toxicity.FIXED) + k for k, f in enumerate(model.entries)}
+    for r in toxicity.classify(docs, labels).collect():
+        on = {places[f] for w in words[r.doc_id] for f in toxicity.word_features(w) if f in places}
+        on |= {k for k, v in enumerate(toxicity.LEXICONS.values()) if words[r.doc_id] & set(v.split())}
+        on |= {len(toxicity.LEXICONS) + k for k, p in enumerate(toxicity.PATTERNS.values()) if re.search(p, texts[r.doc_id])}
+        assert abs(r.score - 1 / (1 + np.exp(-(model.bias + sum(model.weights[k] for k in on))))) < 1e-9
+    assert marked.count() == 200
