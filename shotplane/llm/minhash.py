@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotplane.llm.common import blocks, components, cut, id_field, map_batches, map_groups, unused
+from shotplane.llm.common import blocks, components, cut, id_field, key_filter, map_batches, map_groups, passing, unused, whole_ids
 
 #: Words of a shingle; the base and rate of the registers; registers, and registers of a band at 85 percent.
 WORDS, BASE, RATE, REGISTERS, BAND = 5, 1.001, 20.0, 256, 8
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, regi
     """Groups documents that are linked by near-duplicate texts.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of word shingles. Returns a row for
-    each row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id equals it).
+    each row of docs (ids are whole numbers): doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id equals it).
 
     Texts without words (null, empty, blank) have empty sets and are linked with nothing. Rows without an id are linked
     with nothing, have no component and are kept. Rows that share an id are one document as far as links go. Other
@@ -173,9 +173,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, regi
     2. Bands of registers, as wide as the threshold allows (band_size), are counted; keys held by one representative only go, and of keys with the same members one
        stays. Within a bucket, blocks of representatives meet pair by pair of blocks, and joint likelihood of registers
        tells which may be similar; a spanning forest of these leaves the task, never all pairs.
-    3. Within each component of candidates, the full sets are compared, again block by block: an exact search by
+    3. Within each component of candidates (only their texts, told by a filter of their ids, are moved) the full sets are
+       compared, again block by block: an exact search by
        breadth, which skips pairs that are already connected. Its forest gives the components.
     """
+    whole_ids(docs, "doc_id")
     docs = docs.select("doc_id", "text")
     band = band or band_size(percent, registers)
     j0 = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / registers) ** 0.5
@@ -233,9 +235,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, regi
 
     weights = near.join(reps.select(F.col("rep").alias("node"), "n"), "node")
     total = weights.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("many"))
-    dealt = weights.join(total, "component").select("node", "component", F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("many") / BLOCK_DOCS)).alias("n_blocks"))
-    asked = dealt.join(reps.select(F.col("rep").alias("node"), "fp", "fq"), "node")
-    texts = docs.where("doc_id is not null").join(asked, docs["doc_id"] == asked["node"]).select("node", "component", "n_blocks", "fp", "fq", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    large = total.select("component", F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("many") / BLOCK_DOCS)).alias("n_blocks")).where("n_blocks > 1")
+    dealt = weights.join(large, "component", "left").select("node", "component", F.coalesce("n_blocks", F.lit(1)).cast("long").alias("n_blocks"))
+    asked, _ = cut(dealt.join(reps.select(F.col("rep").alias("node"), "fp", "fq"), "node"), "asked")
+    known, _ = cut(key_filter(asked.select(F.xxhash64("node").alias("h"))), "asked-ids")
+    texts = passing(docs.where("doc_id is not null"), F.xxhash64(F.col("doc_id").cast("long")), known).join(asked, docs["doc_id"] == asked["node"]).select("node", "component", "n_blocks", "fp", "fq", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     spread = T.StructType([T.StructField("node", T.LongType()), T.StructField("component", T.LongType()), T.StructField("n_blocks", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,10 +289,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, regi
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents that stay, with all their columns: of each group the one with the smallest doc_id."""
+    """The documents that stay, with all their columns: of each group the one with the smallest doc_id.
+
+    Rows whose id is not dropped, as a filter of the dropped ids tells, are not moved.
+    """
     (i,) = unused(docs, "_id")
-    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(i)).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col(i), "left_semi").unionByName(docs.where("doc_id is null"))
+    found, _ = cut(near_duplicates(docs, percent).where("doc_id is not null").select(F.col("doc_id").alias(i), "kept"), "near")
+    dropped, _ = cut(found.groupBy(i).agg(F.bool_or("kept").alias("kept")).where("not kept").select(i), "dropped")
+    words, _ = cut(key_filter(dropped.select(F.xxhash64(i).alias("h"))), "dropped-ids")
+    h = F.xxhash64("doc_id")
+    return passing(docs, h, words, inside=False).unionByName(passing(docs, h, words).join(dropped, F.col("doc_id") == F.col(i), "left_anti"))
 
 
 ORACLE = r"""

@@ -92,3 +92,10 @@ def test_components_of_a_path_and_a_star(spark):
     star = [(7, i) for i in range(200, 400)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(path + star, "a long, b long")).collect()}
     assert got == components({x for p in path + star for x in p}, path + star)
+
+
+def test_other_ids_than_whole_numbers_are_refused(spark):
+    d = spark.createDataFrame([("a", "x", [1.0])], "doc_id string, text string, embedding array<float>")
+    for run in (lambda: minhash.near_duplicates(d), lambda: embedding_dedup.embedding_links(d.withColumnRenamed("doc_id", "vec_id"))):
+        with pytest.raises(TypeError, match="whole number"):
+            run()
