@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotplane.llm.common import cut, unused
+from shotplane.llm.common import cut, key_filter, passing, unused
 
 #: Base patterns and the least length of what they must hold (fixed values of the contract).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,8 +27,8 @@ KINDS = {"assign": "secret", "access": "identifier", "hex": "secret", "ident": "
 COMPLEMENTS = {"ident": ["secret"], "key": ["identifier", "endpoint"], "endpoint": ["secret"]}
 #: Code points between two parts of one credential.
 SCOPE = 256
-#: Numbers that a prefix sum adds at once.
-STRIDE = 256
+#: Numbers that a prefix sum adds at once, and code points of a block from which pieces of a text are taken.
+STRIDE, BLOCK = 256, 1 << 13
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,17 +36,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running(numbers: Column) -> Column:
-    """Inclusive prefix sums of an array of longs, over blocks, so that long arrays cost little more than their length."""
+def running(numbers: Column, join: Callable[[Column, Column], Column] = lambda s, x: s + x) -> Column:
+    """Inclusive prefix sums (or greatest values) of an array of longs from 0 on, over blocks, so that long arrays cost little
+    more than their length."""
     zero = F.lit(0).cast("long")
 
     def total(a: Column) -> Column:
-        return F.aggregate(a, zero, lambda s, x: s + x)
+        return F.aggregate(a, zero, join)
 
     def body(q: Column) -> Column:
         last = F.floor((F.size(q) - 1) / STRIDE).cast("int")
         sums = F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice(q, b * STRIDE + 1, STRIDE)))
-        return let(let(sums, lambda s: F.transform(s, lambda _, b: total(F.slice(s, 1, b)))), lambda p: F.transform(q, lambda _, i: F.get(p, F.floor(i / STRIDE).cast("int")) + total(F.slice(q, F.floor(i / STRIDE).cast("int") * STRIDE + 1, i % STRIDE + 1))))
+        return let(let(sums, lambda s: F.transform(s, lambda _, b: total(F.slice(s, 1, b)))), lambda p: F.transform(q, lambda _, i: join(F.get(p, F.floor(i / STRIDE).cast("int")), total(F.slice(q, F.floor(i / STRIDE).cast("int") * STRIDE + 1, i % STRIDE + 1)))))
 
     return F.when(F.size(numbers) > 0, let(numbers, body)).otherwise(F.array().cast("array<bigint>"))
 
@@ -94,7 +95,7 @@ def _named(kind: str, found: Column) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(list(KINDS).index(kind)).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def scan_secrets(docs: DataFrame, scope: int = SCOPE, by_end: bool = False) -> DataFrame:
+def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Finds secrets in every whole text and links parts of one credential.
 
     Returns a row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked and found, the
@@ -104,8 +105,7 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, by_end: bool = False) -> D
 
     Base kinds are found as they are. Weak parts (account names, opaque keys, endpoints) are looked for beside them, in
     the text without base matches. A weak part is reported only if at most `scope` code points lie between it and a part
-    that completes it in the same document, from the end of one to the start of the other, as op2_secrets and redact ask
-    with by_end; else from start to start. That interval join is an equal join on bins of that width, which a part has
+    that completes it in the same document, from the end of one to the start of the other. That interval join is an equal join on bins of that width, which a part has
     from its start to that end, against each bin's first start and last end by part, so no pairs of a crowded text are
     made: two parts of one bin lie less than its width apart, so one of them is near wherever both together seem so.
     """
@@ -121,9 +121,8 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, by_end: bool = False) -> D
 
     every = F.concat(*(_named(k, F.col(k)) for k in KINDS))
     role = F.element_at(F.create_map(*(F.lit(x) for k, v in KINDS.items() for x in (k, v))), F.col("p.kind"))
-    end = F.col("p.end") if by_end else F.col("p.start")
     needy = rows.where(" or ".join(f"size({k}) > 0" for k in COMPLEMENTS))
-    parts = needy.select("doc_id", "h", F.explode(every).alias("p")).select("doc_id", "h", "p", role.alias("role"), F.col("p.start").alias("from"), end.alias("to")).withColumns({"first": F.floor(F.col("from") / scope).cast("long"), "last": F.floor(F.col("to") / scope).cast("long")})
+    parts = needy.select("doc_id", "h", F.explode(every).alias("p")).select("doc_id", "h", "p", role.alias("role"), F.col("p.start").alias("from"), F.col("p.end").alias("to")).withColumns({"first": F.floor(F.col("from") / scope).cast("long"), "last": F.floor(F.col("to") / scope).cast("long")})
     held = parts.select("doc_id", "h", "role", "from", "to", F.explode(F.sequence("first", "last")).alias("bin"))
     bins = held.groupBy("doc_id", "h", "bin", "role").agg(F.min("from").alias("lo"), F.max("to").alias("hi")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("bin").alias("at"), F.col("role").alias("other"), "lo", "hi")
     wants = F.create_map(*(x for k, v in COMPLEMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
@@ -141,21 +140,36 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, by_end: bool = False) -> D
 def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """The documents with all spans that scan_secrets finds replaced by a mark, n_chars following where it is there.
 
-    Spans that overlap get one mark. All rows and columns stay; texts without a span, and null texts, stay as they are.
-    Only the rows' spans are joined to the texts, by id and a hash of the text.
+    Spans that overlap get one mark. All rows and columns stay; texts without a span, and null texts, stay as they are:
+    rows whose id has no span (by a filter of such ids) are not moved. The others meet their spans by id and a hash of the
+    text. Texts are cut into blocks once and pieces taken from these, so the time grows with a text's length, whatever the
+    number of its spans.
     """
     i, h, own, hit, clean = unused(docs, "_id", "_hash", "_own", "_hit", "_clean")
-    found = scan_secrets(docs, scope, by_end=True).where("size(found) > 0").select(F.col("doc_id").alias(i), F.col("_h").alias(h), F.col("found").alias(hit)).distinct()
-    marked = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
-
-    text = F.aggregate(hit, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text"))))
+    found, _ = cut(scan_secrets(docs, scope).where("size(found) > 0").select("doc_id", "_h", "found").distinct(), "found")
+    words, _ = cut(key_filter(found.select(F.xxhash64("doc_id").alias("h"))), "owners")
+    near = passing(docs, F.xxhash64("doc_id"), words).withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    spans_of = found.select(F.col("doc_id").alias(i), F.col("_h").alias(h), F.col("found").alias(hit))
+    marked = near.join(spans_of, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left")
     some = F.col(hit).isNotNull()
-    out = marked.withColumn(clean, F.when(some, text).otherwise(F.col("text"))).withColumn("text", F.col(clean))
+    out = marked.withColumn(clean, F.when(some, replaced(F.col("text"), F.col(hit), mark)).otherwise(F.col("text"))).withColumn("text", F.col(clean))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(some, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return passing(docs, F.xxhash64("doc_id"), words, inside=False).unionByName(out.select(*docs.columns))
+
+
+def replaced(text: Column, found: Column, mark: str) -> Column:
+    """A text with spans, sorted by their start, replaced by marks; overlapping spans get one."""
+
+    def pieces(blocks: Column, reach: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            ks = F.sequence(F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int"))
+            part = lambda k: F.substring(F.get(blocks, k), F.greatest(a - k * BLOCK, F.lit(0)).cast("int") + 1, (F.least(b - k * BLOCK, F.lit(BLOCK)) - F.greatest(a - k * BLOCK, F.lit(0))).cast("int"))
+            return F.array_join(F.transform(ks, part), "")
+
+        before = lambda k: F.when(k > 0, F.get(reach, k - 1)).otherwise(F.lit(0).cast("long"))
+        body = F.transform(found, lambda s, k: F.when(s["start"] >= before(k), F.concat(between(before(k), s["start"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(body, ""), between(F.element_at(reach, -1), F.char_length(text).cast("long")))
+
+    cuts = F.transform(F.sequence(F.lit(0), F.floor(F.char_length(text) / BLOCK).cast("int")), lambda k: F.substring(text, k * BLOCK + 1, F.lit(BLOCK)))
+    return let(cuts, lambda blocks: let(running(F.transform(found, lambda s: s["end"]), lambda s, x: F.greatest(s, x)), lambda reach: pieces(blocks, reach)))

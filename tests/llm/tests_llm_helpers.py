@@ -37,14 +37,14 @@ def linked(text):
     masked = text
     for p in (ASSIGN.pattern, "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"):
         masked = re.sub(p, lambda m: "\x01" * len(m[0]), masked, flags=re.A | (re.I if p == ASSIGN.pattern else 0))
-    parts = [(s, k) for s, _, k, _ in base(text)]
+    parts = [(s, k, e) for s, _, k, e in base(text)]
     weak = []
     for kind, p in (("ident", secrets.IDENT), ("key", secrets.KEY), ("endpoint", secrets.ENDPOINT)):
         for m in re.finditer(p, masked, re.A):
             if kind != "key" or all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]")):
                 weak.append((m.start(), list(secrets.KINDS).index(kind), kind, m.end()))
-    parts += [(s, k) for s, _, k, _ in weak]
-    return [w for w in weak if any(abs(s - w[0]) <= secrets.SCOPE and secrets.KINDS[k] in secrets.COMPLEMENTS[w[2]] for s, k in parts)]
+    parts += [(s, k, e) for s, _, k, e in weak]
+    return [w for w in weak if any(max(s - w[3], w[0] - e) <= secrets.SCOPE and secrets.KINDS[k] in secrets.COMPLEMENTS[w[2]] for s, k, e in parts)]
 
 
 def linked_spans(text):
