@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, regi
     weights = near.join(reps.select(F.col("rep").alias("node"), "n"), "node")
     total = weights.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("many"))
     large = total.select("component", F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("many") / BLOCK_DOCS)).alias("n_blocks")).where("n_blocks > 1")
+    large, _ = cut(large, "large")
     dealt = weights.join(large, "component", "left").select("node", "component", F.coalesce("n_blocks", F.lit(1)).cast("long").alias("n_blocks"))
     asked, _ = cut(dealt.join(reps.select(F.col("rep").alias("node"), "fp", "fq"), "node"), "asked")
     known, _ = cut(key_filter(asked.select(F.xxhash64("node").alias("h"))), "asked-ids")
