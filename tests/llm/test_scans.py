@@ -92,3 +92,15 @@ def test_running_sums(spark, n):
 
     got = spark.range(1).select(secrets.running(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda x: x.cast("long"))).alias("r")).first()["r"]
     assert len(got) == n + 1 and got[-1] == n * (n + 1) // 2 and got[n // 2] == (n // 2) * (n // 2 + 1) // 2
+
+
+def test_whole_license_texts_are_found(spark):
+    """Templates of over a hundred words, in other text, with words changed, and cut short."""
+    words = licenses.MIT_TEXT.split()
+    assert len(words) > 120
+    changed = " ".join("other" if k % 40 == 7 else w for k, w in enumerate(words))
+    rows = [(1, licenses.MIT_TEXT), (2, "before it " * 50 + licenses.ISC_TEXT.upper() + " after" * 30), (3, changed), (4, " ".join(words[60:100])), (5, licenses.BSD_TEXT + "\n" + licenses.GPL_TEXT), (6, " ".join(reversed(words)))]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("mit", 1.0) and got[2] == ("isc", 1.0) and got[3][0] == "mit" and 0.8 < got[3][1] < 1
+    assert got[4] == ("", 0.0) and got[6] == ("", 0.0)
+    assert got[5][0] == "bsd,gpl"
