@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +17,9 @@ from shotplane.llm.token_counts import CHUNK, encode_spliced, encoder, fast_enco
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 1024, 2
-#: Free tokens up to which a bin is nearly full, pieces a task packs at once, bins that one merge takes, partitions it joins.
-NEARLY, AT_ONCE, MERGE, FAN_IN = 2, 50_000, 20_000, 8
+#: Free tokens up to which a bin is nearly full, pieces a task packs at once (which costs a sequence a batch at most), and
+#: groups of bins that a merge joins.
+NEARLY, AT_ONCE, FAN_IN = 2, 50_000, 8
 
 
 def encode_text(path: str, text: str) -> bytes:
@@ -71,8 +72,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     out.
 
     Every partition packs its pieces best-fit and closes nearly full bins. Underfull bins go up a tree as items: a round
-    joins those of `fan_in` partitions and packs them again, until one group is left. A merge takes at most MERGE bins,
-    the emptiest; fuller ones of a group are closed as they are, so no task grows with the input and no piece is lost.
+    joins those of `fan_in` partitions and packs them again by best fit, until one group is left (see merge_rounds).
     """
     path = path or tokenizer_path()
     schema = T.StructType([id_field(docs, "doc_id"), T.StructField("piece", T.IntegerType())] + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "bin", "place", "fill", "part")])
@@ -124,7 +124,14 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
 
 def merge_rounds(bins: DataFrame, capacity: int, nearly: int, fan_in: int) -> DataFrame:
-    """Packs underfull bins (bin, fill, part) round by round; returns for each: bin, target (a bin's name), shift."""
+    """Packs underfull bins (bin, fill, part) round by round; returns for each: bin, target (a bin's name), shift.
+
+    Best fit leaves no two bins that fit into one, so in a batch, and in a merged group, at most one is half full or less.
+    In a merge of m such small bins, each goes into at most one larger bin, and larger ones never join each other. Of bins
+    equally full any will do; so m of each fill, beside the small ones, give what all of them would. Only these reach the
+    task: no more than `fan_in` times the capacity, however many bins there are; the others wait, open, for the next
+    round.
+    """
     spark = bins.sparkSession
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("bin", "target", "shift", "fill", "part")])
     now, path = cut(bins.select("bin", F.col("bin").alias("target"), F.lit(0).cast("long").alias("shift"), "fill", "part"), "bins")
@@ -132,21 +139,20 @@ def merge_rounds(bins: DataFrame, capacity: int, nearly: int, fan_in: int) -> Da
     def merge(key, frame):
         import pandas as pd
 
-        frame = frame.sort_values(["fill", "bin"], kind="stable")
-        items, rest = frame.iloc[:MERGE], frame.iloc[MERGE:]
+        items = frame.sort_values(["fill", "bin"], kind="stable")
         where, places, fill = best_fit(items["fill"].to_numpy(), capacity)
         head = {}
         for b, name in zip(where.tolist(), items["bin"].tolist()):
             head[b] = min(head.get(b, name), name)
         fills = np.asarray(fill, np.int64)
-        got = pd.DataFrame({"bin": items["bin"].to_numpy(), "target": [head[b] for b in where.tolist()], "shift": places, "fill": fills[where], "part": int(key[0])})
-        done = pd.DataFrame({"bin": rest["bin"], "target": rest["bin"], "shift": 0, "fill": capacity, "part": int(key[0])})
-        return pd.concat([got, done]) if len(done) else got
+        return pd.DataFrame({"bin": items["bin"].to_numpy(), "target": [head[b] for b in where.tolist()], "shift": places, "fill": fills[where], "part": int(key[0])})
 
     while True:
         low = now.where((F.col("fill") < capacity - nearly) & (F.col("shift") == 0)).select(F.col("target").alias("bin"), "fill", F.floor(F.col("part") / fan_in).cast("long").alias("part"))
         n = now.agg(F.max("part")).first()[0]
-        packed, path_packed = cut(low.groupBy("part").applyInPandas(merge, schema), "bins")
+        small = low.where(F.col("fill") * 2 <= capacity).groupBy("part").agg(F.count("*").alias("m"))
+        tried = low.join(small, "part").withColumn("r", F.row_number().over(Window.partitionBy("part", "fill").orderBy("bin"))).where(F.col("r") <= F.greatest(F.col("m"), F.when(F.col("fill") * 2 <= capacity, F.col("r")).otherwise(0)))
+        packed, path_packed = cut(tried.select("bin", "fill", "part").groupBy("part").applyInPandas(merge, schema), "bins")
         step = packed.select(F.col("bin").alias("t"), F.col("target").alias("t2"), F.col("shift").alias("s2"), F.col("fill").alias("f2"), F.col("part").alias("p2"))
         then, path_then = cut(now.join(step, now["target"] == step["t"], "left").select("bin", F.coalesce("t2", "target").alias("target"), (F.col("shift") + F.coalesce("s2", F.lit(0))).cast("long").alias("shift"), F.coalesce("f2", "fill").alias("fill"), F.coalesce("p2", F.floor(F.col("part") / fan_in)).cast("long").alias("part")), "bins")
         discard(spark, path)
