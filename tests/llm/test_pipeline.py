@@ -33,9 +33,9 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
-    model = toxicity.learn(docs, labels)
-    places = {f: i for i, f in enumerate(model.features)}
-    left = {i: t for i, t, *_ in data if model.score(toxicity._Features(places).of(t or "")) < 0.5}
+    model, _ = toxicity.learn(docs, labels)
+    marker = toxicity.Marker(model.entries)
+    left = {i: t for i, t, *_ in data if model.score(marker.of(t or "")) < 0.5}
     assert set(left) == {i for i, t, *_ in data if "grunk" not in (t or "")}
     best = {}
     for i, t in sorted(left.items()):
@@ -68,3 +68,27 @@ def test_stages_keep_the_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_repeated_ids_and_clashing_columns(spark, tmp_path):
+    """Rows that share an id, repeated rows, null ids, and columns named as the stages' own."""
+    long = " ".join(f"w{i}" for i in range(40))
+    data = [(1, "abc def"), (1, "abc  def"), (2, "abcdef"), (3, long), (3, long), (4, long + " more"), (5, None), (None, "no id"), (None, "no id"), (6, "key token=abcdef1234 end"), (6, "other token=zzzzzz1 end")]
+    extra = "array(1) as bands, 'q' as _id, 2 as _key, 'x' as found, map('a', 1) as m, 3 as fill, 4 as rep, 5 as node, true as kept, 'h' as _h"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", extra.split(" as ")[0] + " as bands", *[e.strip() for e in extra.split(",") if " as " in e and "bands" not in e and "map" not in e and e.strip() != "1) as m"], "map('a', 1) as m")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        kept.append(sorted((str(r.doc_id), r.text or "") for r in now.collect()))
+    assert len(kept[0]) == len(data)
+    copies = [("1", "abc  def"), ("3", long), ("4", long + " more"), ("5", ""), ("6", "key token=abcdef1234 end"), ("6", "other token=zzzzzz1 end"), ("None", "no id")]
+    assert kept[1] == copies
+    assert kept[2] == [x for x in copies if x[0] != "4"]
+    assert [t for i, t in kept[3] if i == "6"] == ["key [SECRET] end", "other [SECRET] end"]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[3])
