@@ -9,7 +9,7 @@ from shotplane import catalogue
 SF = f"{ROOT}/{os.environ.get('TEST_SF', 'sf0.001')}"
 
 
-@pytest.mark.parametrize("name", ["crop_gates", "crop_notes"])
+@pytest.mark.parametrize("name", ["crop_gates", "crop_notes", "crop_terms"])
 def test_no_grid_goes_through_the_driver(spark, name):
     """A broadcast is collected by the driver, and a plan takes exploded tiles for as few bytes as the scenes' table."""
     d = catalogue.QUERIES[name](spark, SF)
