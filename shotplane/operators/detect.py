@@ -16,8 +16,9 @@ def confidence(cls: Column, obj: Column) -> Column:
 
 
 def keep_detections(d: DataFrame, cfg: DetectConfig = DetectConfig()) -> DataFrame:
-    """Detections of an image (x, y, w, h, score) over the cut-off and not far narrower than the one of largest area."""
-    main = Window.partitionBy("image").orderBy(F.desc(F.col("w") * F.col("h")), "id")
+    """Detections of an image (x, y, w, h, score) over the cut-off and not far narrower than the one of largest area: among
+    equals the first in `id`, then the best scored, then the widest, whatever order rows come in."""
+    main = Window.partitionBy("image").orderBy(F.desc(F.col("w") * F.col("h")), "id", F.desc("score"), F.desc("w"))
     return d.where(F.col("score") >= cfg.min_score).withColumn("_w", F.first("w").over(main)).where(F.col("w") >= F.col("_w") * cfg.min_width).drop("_w")
 
 
