@@ -11,7 +11,7 @@ from shotplane.operators import crops
 SF = f"{ROOT}/{os.environ.get('TEST_SF', 'sf0.001')}"
 
 
-@pytest.mark.parametrize("name", ["crop_terms"])
+@pytest.mark.parametrize("name", ["crop_notes", "crop_terms"])
 def test_no_tile_is_gathered_or_joined(spark, name):
     """Tiles as rows had to be collected, sorted and joined again, which took more heap than a small driver has."""
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
