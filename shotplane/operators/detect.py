@@ -34,8 +34,8 @@ def iou_pairs(d: DataFrame) -> DataFrame:
 
 
 def suppress(d: DataFrame, cfg: DetectConfig = DetectConfig()) -> DataFrame:
-    """Greedy suppression by image: boxes by falling score (the first in `id` among equals), each kept if its IoU with
-    all kept ones is under max_iou. A fold over an image's array of boxes."""
+    """Greedy suppression by image: boxes by falling score (among equals the first in `id`, then in x, y, w and h), each kept
+    if its IoU with all kept ones is under max_iou. A fold over an image's array of boxes."""
     boxes = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "id", F.array("x", "y", "w", "h").alias("b"))))
     sets = d.groupBy("image").agg(boxes.alias("boxes"))
     none = F.slice("boxes", 1, 0)
