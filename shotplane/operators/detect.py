@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotplane.config import DetectConfig
-from shotplane.functions.geometry import iou, of_array
+from shotplane.functions.geometry import area, corners, inter, iou
 
 
 def confidence(cls: Column, obj: Column) -> Column:
@@ -34,12 +34,23 @@ def iou_pairs(d: DataFrame) -> DataFrame:
 
 
 def suppress(d: DataFrame, cfg: DetectConfig = DetectConfig()) -> DataFrame:
-    """Greedy suppression by image: boxes by falling score (among equals the first in `id`, then in x, y, w and h), each kept
-    if its IoU with all kept ones is under max_iou. A fold over an image's array of boxes."""
-    boxes = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "id", F.array("x", "y", "w", "h").alias("b"))))
-    sets = d.groupBy("image").agg(boxes.alias("boxes"))
+    """Greedy suppression by image: boxes by falling score, then by `id`, a null last (among equals the first in x, y, w and h),
+    each kept if its IoU with all kept ones is under max_iou. As in the SQL, a box with a null overlaps nothing, two boxes without
+    area, whose IoU is no number, are not both kept, areas of negative sides count with their sign, and boxes of no image are
+    left out. A fold over an image's array of boxes."""
+    score = F.col("score").cast("double")
+    # An array's order puts NaN last and null first.
+    order = F.when(score.isNull(), float("nan")).when(F.isnan(score), float("-inf")).otherwise(-score)
+    boxes = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("id").isNull().alias("no"), "id", *(F.col(c).cast("double").alias(c) for c in "xywh"))))
+    sets = d.where("image is not null").groupBy("image").agg(boxes.alias("boxes"))
+
+    def apart(k: Column, c: Column) -> Column:
+        both = area(inter(*(corners(*(b[s] for s in "xywh")) for b in (k, c))))
+        union = k["w"] * k["h"] + c["w"] * c["h"] - both
+        return union.isNull() | F.coalesce(F.try_divide(both, union) < cfg.max_iou, F.lit(False))
+
     none = F.slice("boxes", 1, 0)
-    kept = F.aggregate("boxes", none, lambda acc, c: F.when(F.forall(acc, lambda k: iou(of_array(k["b"]), of_array(c["b"])) < cfg.max_iou), F.array_append(acc, c)).otherwise(acc))
+    kept = F.aggregate("boxes", none, lambda acc, c: F.when(F.forall(acc, lambda k: apart(k, c)), F.array_append(acc, c)).otherwise(acc))
     return sets.select("image", F.explode(F.transform(kept, lambda k: k["id"])).alias("id"))
 
 
